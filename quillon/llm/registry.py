@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from .bpe import op2_bpe_codec
+from .decontaminate import op1_decontamination
+from .html_text import op7_html_text
 from .jaccard_join import op5_jaccard_join
+from .language_id import op3_language_id
+from .token_counts import op6_token_counts
+from .warc import op4_warc_derivatives
+
+QUERIES = (op1_decontamination, op2_bpe_codec, op3_language_id, op4_warc_derivatives, op5_jaccard_join, op6_token_counts, op7_html_text)
 
 
 def queries() -> dict:
-    return {"op5_jaccard_join": op5_jaccard_join}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
