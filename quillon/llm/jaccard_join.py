@@ -7,7 +7,8 @@ are exactly 1, so no pivot tells documents apart. The join therefore works in th
    in at most D = n_small * (1 - t) / t shingles, so of the first D + 1 + E parts at least 1 + E are equal in
    both, and one of them is not thin unless more than E are thin, in which case thin parts count too. Equal
    parts tie documents; the components of these ties are the root regions: no link leaves one, and each
-   distinct set lies in one region only.
+   distinct set lies in one region only. A passage that many texts share can chain unlike ones by chance, so a
+   region is dealt afresh (other hashes, other parts) and falls apart where the ties do not hold again.
 2. *Large regions* are split by distributed rounds: pivots chosen by hash, every set goes to the Voronoi
    region of its nearest pivot and, if d(x, p) <= d(x, home) + 2 * radius, also to that of p. Sets far from all
    pivots share one remainder with the sets within a radius of being far. Sets within the radius of a pivot are
@@ -28,9 +29,9 @@ from .common import blocks, connected_components, materialise, mix, small_batche
 
 _U = np.uint64
 #: Sets that one task may hold at once; larger regions are split first.
-REGION_LIMIT = 20_000
-#: Pivots of a distributed round, and rounds before the block join.
-PIVOTS, ROUNDS = 32, 6
+REGION_LIMIT = 4000
+#: Pivots of a distributed round, rounds before the block join, and fresh dealings that may split a region.
+PIVOTS, ROUNDS, DEALINGS = 32, 8, 4
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +92,8 @@ class Parts:
         spare = np.where(self.need(top) > 0, -(-self.need(a) * 3 // 10) + 2, 0)
         return lows, top, spare, self.need(top) + 1 + spare, np.where(a < 12, 1, 2)
 
-    def signatures(self, sh: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, signature) of each part that a set shows, sorted by row."""
+    def signatures(self, sh: np.ndarray, at: np.ndarray, dealing: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(row, signature) of each part that a set shows, sorted by row; `dealing` picks the hash of the parts."""
         n = np.diff(at)
         if not len(sh):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -113,7 +114,7 @@ class Parts:
             base = np.concatenate(([0], np.cumsum(shown)))
             pick = np.repeat(np.arange(len(docs)), n[docs])
             s = sh[np.repeat(use, n)]
-            part = (mix(s, 5) % parts[c].astype(_U)[pick]).astype(np.int64)
+            part = (mix(s, 5 + 1000 * dealing) % parts[c].astype(_U)[pick]).astype(np.int64)
             ok = part < shown[pick]
             cell = base[pick[ok]] + part[ok]
             held = np.bincount(cell, minlength=base[-1])
@@ -222,12 +223,30 @@ def split_region(d: np.ndarray, radius: float) -> tuple[list[np.ndarray], np.nda
     return regions, np.flatnonzero(home > far - radius - eps)
 
 
+def tied_groups(sets: list[np.ndarray], parts: Parts, dealing: int) -> list[np.ndarray]:
+    """Rows of the components of the ties of one dealing; every link lies within one."""
+    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    rows, sigs = parts.signatures(np.concatenate(sets), at, dealing)
+    order = np.argsort(sigs, kind="stable")
+    rows, sigs = rows[order], sigs[order]
+    same, links = np.flatnonzero(sigs[1:] == sigs[:-1]), Links(len(sets))
+    for i, j in zip(rows[same].tolist(), rows[same + 1].tolist(), strict=True):
+        links.join(i, j)
+    roots = np.array([links.find(i) for i in range(len(sets))])
+    order = np.argsort(roots, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(roots[order])) + 1)
+
+
 def region_links(sets: list[np.ndarray], num: int, den: int) -> list[int]:
-    """Component of each set of a region (index of its first member), by recursion over pivots."""
-    links, radius = Links(len(sets)), 1 - num / den
-    todo = [np.arange(len(sets))]
+    """Component of each set of a region (index of its first member), by recursion over dealings and pivots."""
+    links, radius, parts = Links(len(sets)), 1 - num / den, Parts(num, den)
+    todo = [(np.arange(len(sets)), 1)]
     while todo:
-        rows = todo.pop()
+        rows, dealing = todo.pop()
+        if len(rows) > 12 and dealing <= DEALINGS:
+            groups = tied_groups([sets[i] for i in rows], parts, dealing)
+            todo += [(rows[g], dealing + 1 if len(groups) > 1 else DEALINGS + 1) for g in groups if len(g) > 1]
+            continue
         if len(rows) <= 12:
             for x, i in enumerate(rows):
                 for j in rows[x + 1 :]:
@@ -243,10 +262,12 @@ def region_links(sets: list[np.ndarray], num: int, den: int) -> list[int]:
                     links.join(rows[p], rows[j])
         d = np.where(np.abs(d - radius) < 1e-9, radius + 2e-9, d)  # on the edge: never taken for granted
         regions, rest = split_region(d, radius)
+        if len(rest) + sum(map(len, regions)) > len(rows):  # nothing is told apart: the pivots alone are done with
+            regions, rest = [], np.arange(len(rows))
         for sub in (*regions, rest):
             sub = np.setdiff1d(sub, picks, assume_unique=True)
             if len(sub) > 1 and len({links.find(i) for i in rows[sub]}) > 1:
-                todo.append(rows[sub])
+                todo.append((rows[sub], DEALINGS + 1))
     return [links.find(i) for i in range(len(sets))]
 
 
@@ -316,6 +337,20 @@ def _join_sets(num: int, den: int):
     return run
 
 
+def _deal(num: int, den: int, dealing: int):
+    def run(batches):
+        parts = Parts(num, den)
+        for batch in batches:
+            sets = [np.frombuffer(x, _U) for x in batch.column(2).to_pylist()]
+            if not sets:
+                continue
+            rows, sigs = parts.signatures(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets]))), dealing)
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(0).take(at), pa.array(sigs)], names=["fp", "region", "sig"])
+
+    return run
+
+
 def _voronoi(num: int, den: int, turn: int):
     """(region, salt, late, fp, shingles), pivots first -> members (region, fp, shingles, d) and links (root set)."""
     radius = 1 - num / den
@@ -382,6 +417,12 @@ def _large_regions(sets: DataFrame, num: int, den: int, limit: int) -> DataFrame
         big = sized.where(F.col("size") > limit).withColumn("slots", F.ceil(F.col("size") / limit))
         if big.isEmpty():
             return links
+        if turn < 2:  # each set is in one region still
+            shown = big.select("region", "fp", "shingles").mapInArrow(_deal(num, den, turn + DEALINGS + 1), "fp long, region long, sig long")
+            least = shown.selectExpr("fp", "min(fp) over (partition by region, sig) as m").where("fp <> m")
+            tied = connected_components(least.select(F.col("fp").alias("u"), F.col("m").alias("v")), "dealt").toDF("fp", "part")
+            sets = materialise(big.join(tied, "fp").select(F.xxhash64("region", "part").alias("region"), "fp", "shingles"), "sets")
+            continue
         hashed = F.xxhash64("fp", F.lit(turn))
         pivots = big.where(F.pmod(hashed, F.col("size")) < PIVOTS)
         pivots = pivots.select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("salt"), F.lit(0).alias("late"), "fp", "shingles")
