@@ -201,6 +201,18 @@ def _run(shared, threshold: float, question: float, answer: float):
     return run
 
 
+def indexes(items: DataFrame, item_id: str, item_text: str, items_at_once: int) -> list[Index]:
+    """One index, or one for each shard of about `items_at_once` items."""
+    bench = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    shards, out = max(1, -(-bench.count() // items_at_once)), []
+    for shard in range(shards):
+        own = bench if shards == 1 else bench.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(shards)) == shard)
+        rows = own.orderBy("item_id", "text").toArrow()
+        out.append(Index(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+        out[-1].kind = rows.schema.field(0).type
+    return out
+
+
 def contaminations(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
     threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, items_at_once: int = ITEMS_AT_ONCE,
@@ -215,18 +227,38 @@ def contaminations(
     small_batches(spark)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind, item_kind = base.schema["id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    bench = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    shards = max(1, -(-bench.count() // items_at_once))
     out = None
-    for shard in range(shards):
-        own = bench if shards == 1 else bench.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(shards)) == shard)
-        rows = own.orderBy("item_id", "text").toArrow()
-        index = Index(rows.column(0).to_pylist(), rows.column(1).to_pylist())
-        index.kind = rows.schema.field(0).type
-        found = base.mapInArrow(_run(spark.sparkContext.broadcast(index), threshold, question, answer), f"id {kind}, item_id {item_kind}, bm25_share double, question_share double, answer_share double")
+    for index in indexes(items, item_id, item_text, items_at_once):
+        shared = spark.sparkContext.broadcast(index)
+        found = base.mapInArrow(_run(shared, threshold, question, answer), f"id {kind}, item_id {item_kind}, bm25_share double, question_share double, answer_share double")
         out = found if out is None else out.union(found)
     return out.withColumnRenamed("id", id_col)
 
 
+def _clean(shared, at: int, threshold: float, question: float, answer: float):
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at)
+            if any(t is not None and not t.isascii() for t in texts.to_pylist()):
+                texts = pa.array([t.lower() if t is not None else None for t in texts.to_pylist()], pa.large_string())
+            raw, offs = text_buffer(texts)
+            keep = np.ones(batch.num_rows, bool)
+            for a, b in blocks(offs):
+                for r, *_ in matches(shared.value, raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a], threshold, question, answer):
+                    keep[a + r] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
+    """The rows of docs in whose text contaminations() finds no item; all columns stay as they are."""
+    small_batches(docs.sparkSession)
+    for index in indexes(items, item_id, item_text, items_at_once):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.mapInArrow(_clean(shared, docs.columns.index(text_col), THRESHOLD, QUESTION, ANSWER), docs.schema)
+    return docs
+
+
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     return contaminations(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

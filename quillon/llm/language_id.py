@@ -204,6 +204,25 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return out.withColumnRenamed("id", id_col)
 
 
+def _keep(shared, at: int):
+    def run(batches):
+        predictor = Predictor(shared.value)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 128):
+                part = batch.slice(a, 128)
+                _, n = predictor.shares([t or "" for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array(n > 0))
+
+    return run
+
+
+def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a language; what predict() calls `und` goes. All columns stay as they are."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_keep(shared, docs.columns.index(text_col)), docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """True for the documents that nothing is learnt from."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1, F.lit(False))
