@@ -130,22 +130,17 @@ def connected_components(edges: DataFrame, label: str = "cc", max_rounds: int =
     edges = materialise(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label
     )
-    seen = None
     for _ in range(max_rounds):
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select("v", "m").where("v <> m").union(least.select("u", "m")).toDF("u", "v").distinct()
-        small = materialise(small, label)
-        now = small.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        ends = edges.select("u", "v").union(edges.select("v", "u"))
+        low = ends.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        large = edges.join(low, "v").select("u", F.col("m").alias("v"), (F.col("m") < F.col("v")).alias("moved"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.max("moved").alias("moved"))
+        small = large.join(least.select("u", "m"), "u").where("v <> m").select("v", "m", F.lit(True)).union(least)
+        small = materialise(small.toDF("u", "v", "moved").groupBy("u", "v").agg(F.max("moved").alias("moved")), label)
         discard(edges)
         edges = small
-        if now == seen:
+        if edges.where("moved").isEmpty():
             break
-        seen = now
     else:
         raise RuntimeError("components did not settle")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -472,7 +472,8 @@ def jaccard_components(
     nodes = info.where("n_shingles > 0").groupBy("fp").agg(F.min("id").alias("rep"))
     wanted = materialise(nodes.join(regions, "fp"), "wanted")
     big = regions.groupBy("region").count().where(F.col("count") > region_limit).select("region")
-    texts = base.join(wanted, base["id"].eqNullSafe(wanted["rep"])).select("region", "fp", "text")
+    # The same plan at every size: texts meet their few wanted ids by a sort-merge join.
+    texts = base.join(wanted.hint("merge"), base["id"].eqNullSafe(wanted["rep"])).select("region", "fp", "text")
     small = texts.join(big, "region", "left_anti").repartition("region").sortWithinPartitions("region", "fp")
     found = materialise(small.mapInArrow(_join_texts(width, num, den), "fp long, root long"), "found")
     if not big.isEmpty():
