@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import blocks, connected_components, materialise, mix, small_batches, text_buffer, word_hashes
 
 _U = np.uint64
-#: Sets that one task may hold at once; larger regions are split first.
-REGION_LIMIT = 4000
+#: Shingles of a region that one task may hold at once (8 bytes each); larger regions are split first.
+REGION_LIMIT = 4_000_000
 #: Pivots of a distributed round, rounds before the block join, and fresh dealings that may split a region.
 PIVOTS, ROUNDS, DEALINGS = 32, 8, 4
 
@@ -408,7 +408,7 @@ def _large_regions(sets: DataFrame, num: int, den: int, limit: int) -> DataFrame
     sets = materialise(sets.select("region", "fp", "shingles"), "sets")
     member = "region long, fp long, shingles binary, d double, root long"
     for turn in range(ROUNDS):
-        size = sets.groupBy("region").agg(F.count("*").alias("size"))
+        size = sets.groupBy("region").agg(F.count("*").alias("rows"), (F.sum(F.octet_length("shingles")) / 8).alias("size"))
         sized = sets.join(size, "region")
         fits = sized.where(F.col("size") <= limit).select("region", "fp", "shingles")
         fits = fits.repartition("region").sortWithinPartitions("region", "fp")
@@ -424,7 +424,7 @@ def _large_regions(sets: DataFrame, num: int, den: int, limit: int) -> DataFrame
             sets = materialise(big.join(tied, "fp").select(F.xxhash64("region", "part").alias("region"), "fp", "shingles"), "sets")
             continue
         hashed = F.xxhash64("fp", F.lit(turn))
-        pivots = big.where(F.pmod(hashed, F.col("size")) < PIVOTS)
+        pivots = big.where(F.pmod(hashed, F.col("rows")) < PIVOTS)
         pivots = pivots.select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("salt"), F.lit(0).alias("late"), "fp", "shingles")
         rows = big.select("region", F.pmod(hashed, F.col("slots")).alias("salt"), F.lit(1).alias("late"), "fp", "shingles")
         dealt = pivots.unionByName(rows).repartition("region", "salt").sortWithinPartitions("region", "salt", "late", "fp")
@@ -433,7 +433,7 @@ def _large_regions(sets: DataFrame, num: int, den: int, limit: int) -> DataFrame
         rows = out.where("root is null")
         edge = rows.where(F.col("d") > radius).groupBy("region").agg(F.min("d").alias("edge"))
         sets = materialise(rows.join(edge, "region").where(F.col("d") >= F.col("edge") - radius - 1e-9).select("region", "fp", "shingles"), "sets")
-    size = sets.groupBy("region").agg(F.count("*").alias("size"))
+    size = sets.groupBy("region").agg((F.sum(F.octet_length("shingles")) / 8).alias("size"))
     big = sets.join(size, "region").withColumn("slots", F.ceil(F.col("size") * 2 / limit))
     mine = F.pmod(F.xxhash64("fp"), F.col("slots"))
     pairs = big.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
@@ -469,11 +469,12 @@ def jaccard_components(
     least = shown.selectExpr("fp", "min(fp) over (partition by sig) as m")
     regions = connected_components(least.where("fp <> m").select(F.col("fp").alias("u"), F.col("m").alias("v")), "regions")
     regions = materialise(regions.select(F.col("node").alias("fp"), F.col("component").alias("region")), "regions")
-    nodes = info.where("n_shingles > 0").groupBy("fp").agg(F.min("id").alias("rep"))
+    nodes = info.where("n_shingles > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"))
     wanted = materialise(nodes.join(regions, "fp"), "wanted")
-    big = regions.groupBy("region").count().where(F.col("count") > region_limit).select("region")
+    big = wanted.groupBy("region").agg(F.sum("n").alias("size")).where(F.col("size") > region_limit).select("region")
     # The same plan at every size: texts meet their few wanted ids by a sort-merge join.
     texts = base.join(wanted.hint("merge"), base["id"].eqNullSafe(wanted["rep"])).select("region", "fp", "text")
+    texts = materialise(texts, "texts")
     small = texts.join(big, "region", "left_anti").repartition("region").sortWithinPartitions("region", "fp")
     found = materialise(small.mapInArrow(_join_texts(width, num, den), "fp long, root long"), "found")
     if not big.isEmpty():
