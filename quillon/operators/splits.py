@@ -98,7 +98,7 @@ def cutoff(interval: int, delay: int, frozen_at: int | None = None) -> Column:
 
 def user_folds(users: DataFrame, key: str = "user_id", folds: int = 5, seed: int = 0) -> DataFrame:
     """Adds `fold` and `part` (two halves of a fold) by hash of the user: disjoint and reproducible."""
-    h = F.crc32(F.concat(F.lit(f"{seed}:"), F.col(key)))
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key))), 1, 8), 16, 10).cast("long")
     return users.withColumn("fold", (h % folds).cast("int")).withColumn("part", F.when(F.floor(h / folds) % 2 == 0, "cg_val").otherwise("reranker_val"))
 
 

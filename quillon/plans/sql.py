@@ -266,6 +266,7 @@ def _profile() -> str:
 
 
 PAIRS = [("rank_hot", "rank_i2i"), ("rank_hot", "rank_transition"), ("rank_i2i", "rank_transition")]
+FOLDS = "hs AS (SELECT DISTINCT user_id, CAST('0x' || substr(md5('0:' || user_id), 1, 8) AS BIGINT) AS h FROM exposures), fo AS (SELECT user_id, CAST(h % 5 AS INTEGER) AS fold, CASE WHEN (h // 5) % 2 = 0 THEN 'cg_val' ELSE 'reranker_val' END AS part FROM hs)"
 STATS = 'SELECT split, {}CAST(count(*) AS BIGINT) AS n_rows, min("timestamp") AS first_ms, max("timestamp") AS last_ms FROM {} GROUP BY ALL'
 
 
@@ -344,6 +345,8 @@ SELECT day, item_id, round(CASE WHEN max(age) OVER w > min(age) OVER w THEN (max
         "category_hist": _with(COMMERCE, "b AS (SELECT client_id, CAST(category % 32 AS INTEGER) AS bin, sum(CASE action WHEN 'buy' THEN 3.0 WHEN 'collect' THEN 2.0 ELSE 1.0 END) AS w FROM ce GROUP BY ALL)") + "SELECT client_id, bin, round(w / CAST(sum(w) OVER (PARTITION BY client_id) AS DOUBLE), 6) AS share FROM b",
         "label_flags": _with(COMMERCE, f"t AS (SELECT DISTINCT client_id, category FROM ce WHERE action = 'buy' AND seconds >= {R.TEST_START // 1000})") + "SELECT c_custkey AS client_id, CAST(count(category) = 0 AS INTEGER) AS churn, coalesce(string_agg(CAST(category AS VARCHAR), ',' ORDER BY category), '') AS categories FROM customer LEFT JOIN t ON c_custkey = client_id GROUP BY c_custkey",
         "aligned_vectors": "SELECT doc_id, embedding IS NULL AS missing, 64 AS dim, round(coalesce(list_sum(CAST(embedding AS DOUBLE[])), 0), 4) AS total FROM documents LEFT JOIN embeddings ON doc_id = vec_id",
+        "user_folds": _with(X, FOLDS) + "SELECT user_id, fold, part FROM fo",
+        "fold_sizes": _with(X, FOLDS) + "SELECT fold, part, count(*) AS n_rows, count(DISTINCT fo.user_id) AS n_users FROM fo JOIN exposures x ON fo.user_id = x.user_id GROUP BY fold, part",
         "first_wins": _with(X) + 'SELECT user_id, item_id, "timestamp", sample_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY "timestamp", sample_id) AS n FROM exposures) WHERE n = 1',
         "title_fallback": "SELECT p_partkey, CASE WHEN vec_id IS NOT NULL THEN '' ELSE p_name END AS title FROM part LEFT JOIN embeddings ON p_partkey = vec_id",
         "history_mean_recall": _with(*BASE) + "SELECT query_id, CAST(len(history) AS INTEGER) AS n_history, array_to_string(list_filter(history[-3:], lambda x, i: list_position(history[-3:], x) = i), ',') AS recent FROM tq",

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark, path: str, files: int | None = None) -> DataFrame:
-    """The events table as a stream of its files, with an event time that watermarks accept."""
+def event_stream(spark, folder: str, files: int | None = None) -> DataFrame:
+    """The events table of a folder as a stream of its files, with an event time that watermarks accept."""
     source = spark.readStream.schema(EVENT_SCHEMA)
     source = source.option("maxFilesPerTrigger", files) if files else source
-    return source.parquet(path).withColumn("time", F.col("ts").cast("timestamp"))
+    return source.option("pathGlobFilter", "events*.parquet").parquet(folder).withColumn("time", F.col("ts").cast("timestamp"))
 
 
 def window_counts(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -67,5 +67,5 @@ def run_once(stream: DataFrame, mode: str, path: str | None = None) -> DataFrame
 
 def windowed_counts(spark, sf_dir: str) -> DataFrame:
     """Hourly counts of the events stream in complete mode."""
-    out = run_once(window_counts(event_stream(spark, f"{sf_dir}/events.parquet")), "complete")
+    out = run_once(window_counts(event_stream(spark, sf_dir)), "complete")
     return out.select(F.unix_millis("start").alias("start_ms"), "event_type", "n", "value")
