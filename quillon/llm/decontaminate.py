@@ -22,7 +22,7 @@ _U = np.uint64
 #: Words of an item's piece, of a passage's half, and pieces of a block.
 PIECE, HALF, BLOCK = 64, 64, 8
 #: BM25's constants, and the share of a piece's own score from which it is retrieved.
-K1, B, THRESHOLD = 1.2, 0.75, 0.5
+K1, B, THRESHOLD = 1.2, 0.75, 0.6
 #: Words of a verified n-gram, and the shares of an item's question and answer that must be found.
 GRAM, QUESTION, ANSWER = 4, 0.5, 0.5
 #: Items that one index may hold; a larger benchmark is split over several, each passed over the texts.
@@ -68,9 +68,12 @@ class Index:
             for a in range(0, len(w), PIECE):
                 pieces.append(w[a : a + PIECE])
                 self.item.append(i)
-        self.item = np.array(self.item, np.int64)
         n = len(pieces)
-        self.vocab = np.unique(np.concatenate(pieces)) if n else np.zeros(0, _U)
+        self.vocab, seen = np.unique(np.concatenate([np.unique(p) for p in pieces]), return_counts=True) if n else (np.zeros(0, _U), [])
+        # Blocks hold pieces with like common words, so that their bounds are tight.
+        common = self.vocab[np.argsort(-np.asarray(seen), kind="stable")[:24]]
+        order = sorted(range(n), key=lambda j: np.isin(common, pieces[j]).tolist())
+        pieces, self.item = [pieces[j] for j in order], np.array(self.item, np.int64)[order]
         length = np.array([len(p) for p in pieces], float)
         rows, cols, tf = [], [], []
         for j, p in enumerate(pieces):
@@ -98,17 +101,19 @@ class Index:
         at = np.minimum(np.searchsorted(self.vocab, words), len(self.vocab) - 1)
         return np.where(self.vocab[at] == words, at, len(self.vocab))
 
-    def search(self, terms: np.ndarray, threshold: float) -> dict[int, float]:
-        """Pieces at or above the threshold for a passage's distinct terms, with their shares."""
-        live = np.flatnonzero(self.bounds[terms].sum(0) >= threshold)
-        if not len(live):
-            return {}
-        score = np.zeros(self.n)
-        for t in terms.tolist():
-            a, b = self.post_at[t], self.post_at[t + 1]
-            score[self.post_piece[a:b]] += self.post_share[a:b]
-        hit = np.flatnonzero((score >= threshold - 1e-9) & np.isin(np.arange(self.n) // BLOCK, live))
-        return dict(zip(hit.tolist(), score[hit].tolist(), strict=True))
+    def search(self, passage: np.ndarray, terms: np.ndarray, live: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+        """(passage, piece, share) at or above the threshold, for sorted (passage, term) pairs.
+
+        `live` says which blocks of a passage may reach it; postings in other blocks are skipped.
+        """
+        lens = self.post_at[terms + 1] - self.post_at[terms]
+        at = np.repeat(self.post_at[terms] - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(lens.sum())
+        who, piece = np.repeat(passage, lens), self.post_piece[at]
+        ok = live[who, piece // BLOCK]
+        cell, slot = np.unique(who[ok] * self.n + piece[ok], return_inverse=True)
+        score = np.bincount(slot, self.post_share[at[ok]], minlength=len(cell))
+        hit = score >= threshold - 1e-9
+        return cell[hit] // self.n, cell[hit] % self.n, score[hit]
 
     def verify(self, item: int, found: np.ndarray) -> tuple[float, float]:
         """Shares of an item's question and answer n-grams among a document's sorted n-grams."""
@@ -135,24 +140,27 @@ def matches(index: Index, raw: np.ndarray, offs: np.ndarray, threshold: float, q
     halves = np.maximum(1, -(-count // HALF))
     first = np.concatenate(([0], np.cumsum(halves)))
     half = np.repeat(first[:-1], count) + (np.arange(len(words)) - np.repeat(at[:-1], count)) // HALF
-    key = np.unique(half[known] * len(index.vocab) + terms[known])
-    cell, term = key // len(index.vocab), key % len(index.vocab)
-    sums = np.zeros((first[-1] + 1, index.n_blocks), np.float32)
-    np.add.at(sums, cell, index.bounds[term])
-    last = np.zeros(first[-1], bool)
-    last[first[1:] - 1] = True
-    pair = sums[:-1] + np.where(last[:, None], 0, sums[1:])  # a passage is a half and the next of its text
+    vocab = len(index.vocab)
+    half, term = half[known], terms[known]
+    opens = np.zeros(first[-1], bool)
+    opens[first[:-1]] = True
+    # A passage is a half and the next of its text: each half belongs to its own and to the one before.
+    back = ~opens[half]
+    key = np.unique(np.concatenate((half * vocab + term, (half[back] - 1) * vocab + term[back])))
+    cell, term = key // vocab, key % vocab
+    starts = np.searchsorted(cell, np.arange(first[-1]))
+    filled = np.flatnonzero(np.diff(np.append(starts, len(cell))))
+    bound = np.zeros((first[-1], index.n_blocks), np.float32)
+    if len(filled):
+        bound[filled] = np.add.reduceat(index.bounds[term], starts[filled], axis=0)
+    live = bound >= threshold
     out = []
     owner = np.repeat(np.arange(len(count)), halves)
-    cut = np.searchsorted(cell, np.arange(first[-1] + 1))
     by_row: dict[int, dict[int, float]] = {}
-    for h in np.flatnonzero(pair.max(1) >= threshold):
-        end = h + 1 if last[h] else h + 2
-        got = index.search(np.unique(term[cut[h] : cut[end] if end < len(cut) else len(term)]), threshold)
-        for piece, share in got.items():
-            held = by_row.setdefault(int(owner[h]), {})
-            item = int(index.item[piece])
-            held[item] = max(held.get(item, 0.0), share)
+    pick = live.any(1)[cell]
+    for who, piece, share in zip(*(x.tolist() for x in index.search(cell[pick], term[pick], live, threshold)), strict=True) if pick.any() else ():
+        held, item = by_row.setdefault(int(owner[who]), {}), int(index.item[piece])
+        held[item] = max(held.get(item, 0.0), share)
     for row, items in by_row.items():
         w = words[at[row] : at[row + 1]]
         found = {}
