@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -42,6 +43,14 @@ def byte_alphabet() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+def lengths_by(tokens) -> dict[str, list[int]]:
+    """Lengths, longest first, of the tokens with each two-letter start or end (one letter: those of one)."""
+    found: dict[str, set[int]] = {}
+    for t, key in tokens:
+        found.setdefault(key, set()).add(len(t))
+    return {k: sorted(v, reverse=True) for k, v in found.items()}
+
+
 class Vocabulary:
     """A word-end BPE file read into tables: token ids, merge ranks, and each token's two parts."""
 
@@ -67,6 +76,7 @@ class Vocabulary:
             if made[k] < 0:
                 made[k], left[k], right[k] = r, i, j
         self.made, self.left, self.right = made, left, right
+        self.lists = made.tolist(), left.tolist(), right.tolist()
         keys = np.array([i * self.size + j for i, j in self.rank], np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.array([r for r, _ in self.rank.values()], np.int64)[order]
@@ -81,6 +91,9 @@ class Vocabulary:
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pair_ok: dict[tuple[int, int], bool] = {}
+        self.starts = lengths_by((t, t[:2]) for t in self.middle)
+        self.middle_ends = lengths_by((t, t[-2:]) for t in self.middle)
+        self.final_ends = lengths_by((t, t[-2:]) for t in self.final)
 
     def fits(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
         """For each pair of neighbours: no merge crosses their border (before the given rank, if any)."""
@@ -109,19 +122,19 @@ class Vocabulary:
             if len(self.pair_ok) > 2_000_000:
                 self.pair_ok.clear()
             x, y, ux, uy, got = a, b, 1 << 40, 1 << 40, True
-            made, rank = self.made, self.rank
+            (made, left, right), rank = self.lists, self.rank
             while True:
                 r = rank.get((x, y))
                 if r is not None and r[0] < ux and r[0] <= uy:
                     got = False
                     break
-                mx, my = int(made[x]), int(made[y])
+                mx, my = made[x], made[y]
                 if mx < 0 and my < 0:
                     break
                 if mx >= my:
-                    ux, x = mx, int(self.right[x])
+                    ux, x = mx, right[x]
                 if my >= mx:
-                    uy, y = my, int(self.left[y])
+                    uy, y = my, left[y]
             self.pair_ok[a, b] = got
         return got
 
@@ -144,22 +157,34 @@ class Vocabulary:
     def speculate(self, word: str) -> list[int]:
         """Greedy longest match over the word and its end."""
         out, i, n = [], 0, len(word)
-        middle, final = self.middle, self.final
+        middle, final, starts = self.middle, self.final, self.starts
         while True:
             if n - i <= self.longest_final and (t := final.get(word[i:])) is not None:
                 out.append(t)
                 return out
-            for size in range(min(self.longest_middle, n - i - 1), 0, -1):
-                if (t := middle.get(word[i : i + size])) is not None:
-                    out.append(t)
-                    i += size
+            for size in starts.get(word[i : i + 2], ()):
+                if size < n - i and (t := middle.get(word[i : i + size])) is not None:
                     break
             else:
-                raise ValueError(f"no token for {word[i]!r}")
+                size, t = 1, middle[word[i]]
+            out.append(t)
+            i += size
 
     def merge(self, word: str) -> list[int]:
         """Exact merging: the lowest rank first, leftmost among equals."""
         ids = [self.ids[c] for c in word[:-1]] + [self.ids[word[-1] + END]]
+        if len(ids) <= 40:
+            none, rank = (1 << 40, -1), self.rank
+            pairs = [rank.get(p, none) for p in zip(ids, ids[1:], strict=False)]
+            while pairs and (best := min(pairs))[1] >= 0:
+                i = pairs.index(best)
+                ids[i : i + 2] = [best[1]]
+                del pairs[i]
+                if i < len(pairs):
+                    pairs[i] = rank.get((ids[i], ids[i + 1]), none)
+                if i:
+                    pairs[i - 1] = rank.get((ids[i - 1], ids[i]), none)
+            return ids
         after, prior = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         heap = [(r[0], i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := self.rank.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -202,16 +227,20 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.vocab = Vocabulary(path)
         self.known: dict[str, bytes] = {}
+        self.ids: dict[str, bytes] = {}
 
     def learn(self, chunks: set[str]) -> None:
         if len(self.known) + len(chunks) > CACHE:
             self.known.clear()
+        if len(self.ids) > CACHE:
+            self.ids.clear()
         parts = [(c, self.vocab.pretokens(c)) for c in chunks]
-        words = list({w for _, p in parts for w in p if isinstance(w, str)})
-        ids = dict(zip(words, self.vocab.encode_words(words), strict=True)) if words else {}
+        ids = self.ids
+        words = list({w for _, p in parts for w in p if isinstance(w, str) and w not in ids})
+        for w, tokens in zip(words, self.vocab.encode_words(words) if words else (), strict=True):
+            ids[w] = struct.pack(f"<{len(tokens)}I", *tokens)
         for c, p in parts:
-            flat = [t for w in p for t in (ids[w] if isinstance(w, str) else (w,))]
-            self.known[c] = np.array(flat, "<u4").tobytes()
+            self.known[c] = b"".join([ids[w] if isinstance(w, str) else struct.pack("<I", w) for w in p])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
