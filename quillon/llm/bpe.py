@@ -29,7 +29,7 @@ _CHUNK = re.compile(f"[^{WHITE}]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 END = "</w>"
 #: Texts of chunks between white space that a worker remembers.
-CACHE = 400_000
+CACHE = 250_000
 
 
 def byte_alphabet() -> list[str]:
@@ -227,11 +227,10 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.vocab = Vocabulary(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.ids: dict[str, bytes] = {}
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > CACHE:
-            self.known.clear()
         if len(self.ids) > CACHE:
             self.ids.clear()
         parts = [(c, self.vocab.pretokens(c)) for c in chunks]
@@ -246,10 +245,12 @@ class Encoder:
         """Ids of each text, little-endian unsigned 32-bit."""
         split = [chunks_of(t) for t in texts]
         new = set().union(*split)
+        if len(self.known) + len(new) > CACHE:
+            self.older, self.known = self.known, {}
         fresh = new.difference(self.known)
-        if fresh:
-            if len(self.known) + len(fresh) > CACHE:
-                fresh = new
+        for c in fresh.intersection(self.older):
+            self.known[c] = self.older[c]
+        if fresh := fresh.difference(self.older):
             self.learn(fresh)
         get = self.known.__getitem__
         return [b"".join(map(get, s)) for s in split]
