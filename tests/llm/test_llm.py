@@ -159,7 +159,7 @@ def test_speculation_is_verified():
 
 def test_every_prefix_is_counted(library):
     counter = token_counts.Counter(VOCAB)
-    for t in [x for x in ODD if x and len(x) < 200] + wild(150, 4) + ["it's we'LL don't", " \n x  ", "a" * 200]:
+    for t in [x for x in ODD if x and len(x) < 200] + wild(150, 4) + ["it's we'LL don't", "-x -\n--y \n-", " \n x  ", "a" * 200]:
         want = [len(e.ids) for e in library.encode_batch([t[:k] for k in range(len(t) + 1)], add_special_tokens=False)]
         assert counter.table(t).tolist() == want, repr(t)
 
