@@ -24,17 +24,29 @@ CELLS, WIDEST, SMOOTH = 1 << 15, 3, 0.5
 SAMPLE_PER_LANGUAGE = 3000
 #: Iterations of expectation-maximisation for each set of languages.
 STEPS = 12
-CACHE = 300_000
+CACHE = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def cells_of(chunk: str) -> list[int]:
-    """Cells of the n-grams of a chunk's letters; none without a letter."""
-    out = []
-    for w in _LETTERS.findall(chunk.lower()):
-        b = f" {w} "
-        for n in range(1, WIDEST + 1):
-            out += [zlib.crc32(b[i : i + n].encode()) % CELLS for i in range(len(b) - n + 1) if n > 1 or b[i] != " "]
+class Cells(dict):
+    """Cell of an n-gram, remembered."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) > CACHE:
+            self.clear()
+        self[gram] = cell = zlib.crc32(gram.encode()) % CELLS
+        return cell
+
+
+_CELL = Cells()
+
+
+def cells_of(word: str) -> list[int]:
+    """Cells of the n-grams of one lower-case word and its borders."""
+    b, cell = f" {word} ", _CELL
+    out = [cell[c] for c in word]
+    for n in range(2, WIDEST + 1):
+        out += [cell[b[i : i + n]] for i in range(len(b) - n + 1)]
     return out
 
 
@@ -50,7 +62,7 @@ def _learn(batches):
                 if (got := known.get(w)) is None:
                     if len(known) > CACHE:
                         known.clear()
-                    got = known[w] = np.array(cells_of(w), np.int64)
+                    got = known[w] = np.array([c for x in _LETTERS.findall(w.lower()) for c in cells_of(x)], np.int64)
                 cells.append(got)
             if cells:
                 have += np.bincount(np.concatenate(cells), minlength=CELLS)
@@ -88,46 +100,54 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
     return Model(langs, counts)
 
 
-def mixtures(ll: np.ndarray, owner: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+def mixtures(ll: np.ndarray, owner: np.ndarray, docs_total: int) -> tuple[np.ndarray, np.ndarray]:
     """Shares of each language by document, zero outside its chosen set, and how many were chosen.
 
-    `ll`: words x languages log-likelihoods; `owner`: the document of each word, ascending; each has a word.
+    `ll`: words x languages log-likelihoods; `owner`: the document of each word, ascending. A set's least
+    language must have a word's worth of share.
     """
     k = ll.shape[1]
-    top = ll.max(1, keepdims=True)
-    like = np.exp((ll - top).astype(np.float64))
+    top = ll.max(1)
+    like = np.exp((ll - top[:, None]).T)  # a row for each language, its largest 1
     first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    who = owner[first]
-    local = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(owner))))
-    words = np.bincount(local, minlength=len(first)).astype(float)
-
-    def climb(shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        for _ in range(STEPS):
-            part = like * shares[local]
-            part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
-            shares = np.add.reduceat(part, first, axis=0) / words[:, None]
-        fitted = np.add.reduceat(np.log(np.maximum((like * shares[local]).sum(1), 1e-300)), first)
-        return shares, fitted
-
-    full, _ = climb(np.full((len(first), k), 1 / k))
-    order = np.argsort(-full, axis=1, kind="stable")
-    place = np.argsort(order, axis=1, kind="stable")
-    best = np.full(len(first), -np.inf)
-    shares, chosen = np.zeros((len(first), k)), np.zeros(len(first), np.int64)
-    alone = np.add.reduceat(ll.astype(np.float64) - top, first, axis=0)
-    for size in range(1, min(k, 5) + 1):
-        mask = place < size
-        if size == 1:
-            one = np.argmax(alone, axis=1)
-            now, fitted = np.eye(k)[one], alone[np.arange(len(first)), one]
-        else:
-            start = np.where(mask, np.maximum(full, 1e-6), 0)
-            now, fitted = climb(start / start.sum(1, keepdims=True))
-        score = fitted - 0.5 * (size - 1) * np.log(np.maximum(words, 2))
-        better = score > best
-        best[better], shares[better], chosen[better] = score[better], now[better], size
-    out, n = np.zeros((docs, k)), np.zeros(docs, np.int64)
-    out[who], n[who] = shares, chosen
+    who, words = owner[first], np.diff(np.append(first, len(owner)))
+
+    def climb(like: np.ndarray, words: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares and log-likelihoods after STEPS rounds; like: languages x words, shares: languages x documents."""
+        starts = np.concatenate(([0], np.cumsum(words)[:-1]))
+        for step in range(STEPS + 1):
+            total = np.zeros(like.shape[1], like.dtype)
+            for j in range(k):
+                total += like[j] * np.repeat(shares[j].astype(like.dtype), words)
+            np.maximum(total, 1e-30, out=total)
+            if step == STEPS:
+                return shares, np.add.reduceat(np.log(total).astype(np.float64), starts)
+            np.reciprocal(total, out=total)
+            shares = np.stack([shares[j] * np.add.reduceat((like[j] * total).astype(np.float64), starts) / words for j in range(k)])
+
+    full, _ = climb(like, words, np.full((k, len(first)), 1 / k))
+    order = np.argsort(-full, axis=0, kind="stable")
+    place = np.argsort(order, axis=0, kind="stable")
+    alone = np.add.reduceat((ll - top[:, None]).astype(np.float64), first, axis=0).T
+    one = alone.argmax(0)
+    best, chosen = alone.max(0), np.ones(len(first), np.int64)
+    shares = np.zeros((k, len(first)))
+    shares[one, np.arange(len(first))] = 1
+    ranked = np.take_along_axis(full, order, axis=0)
+    for size in range(2, min(k, 5) + 1):
+        # A language with less than a word can't pay for its share.
+        docs = np.flatnonzero(ranked[size - 1] * words >= 1)
+        if not len(docs):
+            break
+        pick = np.repeat(np.isin(np.arange(len(first)), docs), words)
+        start = np.where(place[:, docs] < size, np.maximum(full[:, docs], 1e-6), 0)
+        now, fitted = climb(np.ascontiguousarray(like[:, pick]), words[docs], start / start.sum(0))
+        score = fitted - 0.5 * (size - 1) * np.log(words[docs])
+        better = score > best[docs]
+        at = docs[better]
+        best[at], shares[:, at], chosen[at] = score[better], now[:, better], size
+    out, n = np.zeros((docs_total, k)), np.zeros(docs_total, np.int64)
+    out[who], n[who] = shares.T, chosen
     return out, n
 
 
@@ -135,29 +155,42 @@ class Predictor:
     """Shares of texts; the rows of likelihoods of chunks are remembered."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.row = model, {}
+        self.model, self.row, self.word, self.used = model, {}, {}, 0
         self.rows = np.zeros((1024, len(model.langs)), np.float32)
         self.real = np.zeros(1024, bool)
 
     def learn(self, chunks) -> None:
-        if len(self.row) + len(chunks) > CACHE:
-            self.row.clear()
-        for c in chunks:
-            at = len(self.row)
-            if at >= len(self.rows):
-                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-                self.real = np.concatenate((self.real, np.zeros_like(self.real)))
-            cells = cells_of(c)
-            self.rows[at] = self.model.logp[cells].sum(0) if cells else 0
-            self.real[at] = bool(cells)
-            self.row[c] = at
+        """Rows of new chunks: a chunk of one word shares the word's row, others get the sum of theirs."""
+        split = {c: _LETTERS.findall(c.lower()) for c in chunks}
+        fresh = list({w for ws in split.values() for w in ws if w not in self.word})
+        several = [c for c, ws in split.items() if len(ws) != 1]
+        need = self.used + len(fresh) + len(several)
+        while need > len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            self.real = np.concatenate((self.real, np.zeros_like(self.real)))
+        if fresh:
+            cells = [cells_of(w) for w in fresh]
+            starts = np.concatenate(([0], np.cumsum([len(c) for c in cells])[:-1]))
+            at = self.used + np.arange(len(fresh))
+            self.rows[at] = np.add.reduceat(self.model.logp[[x for c in cells for x in c]], starts, axis=0)
+            self.real[at] = True
+            self.word.update(zip(fresh, at.tolist(), strict=True))
+            self.used += len(fresh)
+        for c, ws in split.items():
+            if len(ws) == 1:
+                self.row[c] = self.word[ws[0]]
+                continue
+            self.rows[self.used] = self.rows[[self.word[w] for w in ws]].sum(0) if ws else 0
+            self.real[self.used] = bool(ws)
+            self.row[c] = self.used
+            self.used += 1
 
     def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [t.split() for t in texts]
         new = set().union(*split)
         fresh = new.difference(self.row)
-        if len(self.row) + len(fresh) > CACHE:
-            self.row.clear()
+        if self.used + len(fresh) > 2 * CACHE or len(self.row) > CACHE:
+            self.row, self.word, self.used = {}, {}, 0
             fresh = new
         self.learn(fresh)
         get = self.row.__getitem__
