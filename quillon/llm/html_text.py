@@ -96,8 +96,6 @@ def parse(source: str) -> Node:
                 up = up.parent
             if last is not None:
                 node = last.parent
-        if name in IMPLIED and name in CLOSES_P and "p" not in closes:
-            pass
         new = Node(name, attrs, node)
         node.children.append(new)
         if name in RAW:
