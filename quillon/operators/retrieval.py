@@ -60,15 +60,10 @@ def retrieval_queries(sequence: DataFrame, keep: int = 5, strict: bool = True) -
     `strict` hides events of the same time; histories run from oldest to newest.
     """
     item = F.struct("timestamp", "step", "event_id", "item_id")
-    w = Window.partitionBy("session_id").orderBy("timestamp") if strict else Window.partitionBy("session_id").orderBy("timestamp", "step", "event_id")
-    w = w.rangeBetween(Window.unboundedPreceding, -1) if strict else w.rowsBetween(-keep, -1)
-    if strict:  # of all earlier events the last `keep` lie among the last `keep` rows before the first of this time
-        order = Window.partitionBy("session_id").orderBy("timestamp", "step", "event_id")
-        tie = F.row_number().over(Window.partitionBy("session_id", "timestamp").orderBy("step", "event_id")) - 1
-        first = F.first(F.col("_h")).over(Window.partitionBy("session_id", "timestamp").orderBy("step", "event_id"))
-        x = sequence.withColumn("_h", F.collect_list(item).over(order.rowsBetween(-keep, -1))).withColumn("_tie", tie).withColumn("_h", first)
-    else:
-        x = sequence.withColumn("_h", F.collect_list(item).over(w))
+    order = Window.partitionBy("session_id").orderBy("timestamp", "step", "event_id")
+    x = sequence.withColumn("_h", F.collect_list(item).over(order.rowsBetween(-keep, -1)))
+    if strict:  # what precedes the first event of a time is what all events of that time see
+        x = x.withColumn("_h", F.first("_h").over(Window.partitionBy("session_id", "timestamp").orderBy("step", "event_id")))
     x = x.withColumn("history", F.transform(F.sort_array("_h"), lambda e: e["item_id"]))
     x = x.where((F.size("history") > 0) & ~F.array_contains("history", F.col("item_id")))
     return x.select(F.col("event_id").alias("query_id"), "session_id", "user_id", F.col("item_id").alias("target"), "timestamp", "history")
@@ -251,3 +246,34 @@ def word2vec_recall(sequence: DataFrame, queries: DataFrame, k: int, size: int =
     iid = vec.withColumn("id", F.xxhash64("item_id"))
     out = dense_recall(qid, iid, k)
     return out.join(qid.select(F.col("id").alias("query_id"), F.col("query_id").alias("q")), "query_id").join(iid.select(F.col("id").alias("item_id"), F.col("item_id").alias("i")), "item_id").select(F.col("q").alias("query_id"), F.col("i").alias("item_id"), "score", "rank")
+
+
+def entity_affinity(pool: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
+    """For each candidate: the share of the history with its entity, and of the history's tags that it has.
+
+    `items` has item_id, entity and tags; tags of an item count once, repeated history items each count.
+    """
+    hist = queries.select("query_id", F.explode("history").alias("item_id")).join(items, "item_id")
+    entity = hist.groupBy("query_id", "entity").agg(F.count("*").alias("n_entity"))
+    tag = hist.select("query_id", F.explode(F.array_distinct("tags")).alias("tag")).groupBy("query_id", "tag").agg(F.count("*").alias("n_tag"))
+    total = tag.groupBy("query_id").agg(F.sum("n_tag").alias("n_tags"))
+    x = pool.select("query_id", "item_id").join(items, "item_id").join(queries.select("query_id", F.size("history").alias("n")), "query_id")
+    tags = x.select("query_id", "item_id", F.explode(F.array_distinct("tags")).alias("tag")).join(tag, ["query_id", "tag"]).groupBy("query_id", "item_id").agg(F.sum("n_tag").alias("hits"))
+    x = x.join(entity, ["query_id", "entity"], "left").join(tags, ["query_id", "item_id"], "left").join(total, "query_id", "left")
+    return x.select(
+        "query_id", "item_id", F.round(F.coalesce(F.col("n_entity"), F.lit(0)) / F.greatest(F.col("n"), F.lit(1)), 6).alias("entity_share"),
+        F.round(F.coalesce(F.col("hits") / F.col("n_tags"), F.lit(0.0)), 6).alias("tag_share"),
+    )
+
+
+def training_requests(pool: DataFrame, target: str = "target", require_positive: bool = True) -> DataFrame:
+    """Candidates with a label; with `require_positive` only of queries whose target is among them."""
+    x = pool.withColumn("label", (F.col("item_id") == F.col(target)).cast("int"))
+    hit = F.max("label").over(Window.partitionBy("query_id"))
+    return x.withColumn("_hit", hit).where("_hit = 1").drop("_hit") if require_positive else x
+
+
+def request_summary(pool: DataFrame, target: str = "target") -> DataFrame:
+    """Queries, candidate rows, and the share of queries whose target is a candidate."""
+    per = training_requests(pool, target, False).groupBy("query_id").agg(F.max("label").alias("hit"), F.count("*").alias("rows"))
+    return per.agg(F.count("*").alias("n_queries"), F.sum("rows").alias("n_rows"), F.round(F.avg("hit"), 6).alias("candidate_recall"))

@@ -266,6 +266,19 @@ def candidate_pool(spark, d):
     return _pool(spark, d)
 
 
+def training_requests(spark, d):
+    return retrieval.training_requests(_pool(spark, d))
+
+
+def request_summary(spark, d):
+    return retrieval.request_summary(_pool(spark, d))
+
+
+def entity_affinity(spark, d):
+    p = R.read(spark, d, "part").select((F.col("p_partkey") - 1).cast("string").alias("item_id"), F.col("p_brand").alias("entity"), F.split("p_type", " ").alias("tags"))
+    return retrieval.entity_affinity(_pool(spark, d), _queries(spark, d), p)
+
+
 def channel_overlap(spark, d):
     return metrics.channel_overlap(_pool(spark, d), NAMES)
 
@@ -401,7 +414,7 @@ ALL = [
     sample_projection, impression_explode, sample_validation, stable_negative, temporal_split, quantile_split, popularity_scores, impression_metrics, binary_metrics, policy_metrics,
     pit_user_item_counts, interaction_features, interaction_features_replay, long_term_profile, relative_freshness, candidate_ranks, session_exposure, past_exposure, past_exposure_momentum,
     past_engagement, fixed_history, topic_affinity, context_features, event_aggregates, visible_history, retrieval_queries, even_sampling, hot_items, item_cf, user_cf, i2i_recall, i2i_hot_recall,
-    retrieval_metrics, transition_recall, transition_loso, tfidf_recall, content_i2i, bm25_recall, dense_recall, embedding_presence, new_items, rrf_fusion, weighted_fusion, top1_graft, candidate_pool,
+    retrieval_metrics, transition_recall, transition_loso, tfidf_recall, content_i2i, bm25_recall, dense_recall, embedding_presence, new_items, rrf_fusion, weighted_fusion, top1_graft, candidate_pool, training_requests, request_summary, entity_affinity,
     channel_overlap, rank_metrics_ablation, exclusive_hits, rank_metrics, catalog_diversity, lexical_diversity, leakage_free_views, query_text, profiles_v1, profiles_v2, category_hist, label_flags,
     aligned_vectors, user_folds, fold_sizes, first_wins, title_fallback, history_mean_recall, word2vec_recall, lr_scores, fm_scores, gbt_scores, streaming_exposure,
 ]

@@ -332,6 +332,13 @@ SELECT day, item_id, round(CASE WHEN max(age) OVER w > min(age) OVER w THEN (max
         "weighted_fusion": _with(*CHANNELS, "u AS (SELECT query_id, item_id, round(sum(w * s), 6) AS score FROM (" + " UNION ALL ".join(f"SELECT query_id, item_id, {w} AS w, coalesce(score / nullif(max(score) OVER (PARTITION BY query_id), 0), 0) AS s FROM {t}" for t, w in (("hq", 0.2), ("i2i", 0.5), ("trn", 0.3))) + ") GROUP BY ALL)") + f'SELECT * FROM (SELECT *, CAST({TOP} AS INTEGER) AS "rank" FROM u) WHERE "rank" <= 20',
         "top1_graft": _with(*CHANNELS, 'u AS (SELECT query_id, item_id, min(r) AS r FROM (SELECT query_id, item_id, "rank" AS r FROM i2i UNION ALL SELECT query_id, item_id, 0 FROM trn WHERE "rank" = 1) GROUP BY ALL)') + 'SELECT query_id, item_id, "rank" FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r, item_id) AS INTEGER) AS "rank" FROM u) WHERE "rank" <= 20',
         "candidate_pool": _with(*POOL) + "SELECT * FROM po",
+        "training_requests": _with(*POOL) + "SELECT *, CAST(item_id = target AS INTEGER) AS label FROM po WHERE query_id IN (SELECT query_id FROM po WHERE item_id = target)",
+        "request_summary": _with(*POOL, "q AS (SELECT query_id, max(CAST(item_id = target AS INTEGER)) AS hit, count(*) AS n FROM po GROUP BY query_id)") + "SELECT count(*) AS n_queries, CAST(sum(n) AS BIGINT) AS n_rows, round(avg(hit), 6) AS candidate_recall FROM q",
+        "entity_affinity": _with(*POOL, "it AS (SELECT CAST(p_partkey - 1 AS VARCHAR) AS item_id, p_brand AS entity, list_distinct(string_split(p_type, ' ')) AS tags FROM part)", "hi AS (SELECT query_id, it.* FROM (SELECT query_id, unnest(history) AS h FROM tq) JOIN it ON h = item_id)",
+            "en AS (SELECT query_id, entity, count(*) AS n FROM hi GROUP BY ALL)", "tg AS (SELECT query_id, tag, count(*) AS n FROM (SELECT query_id, unnest(tags) AS tag FROM hi) GROUP BY ALL)", "tt AS (SELECT query_id, sum(n) AS n FROM tg GROUP BY query_id)",
+            "cand AS (SELECT pool.query_id, it.*, len(history) AS nh FROM pool JOIN it ON pool.item_id = it.item_id JOIN tq ON tq.query_id = pool.query_id)",
+            "ht AS (SELECT c.query_id, item_id, sum(tg.n) AS n FROM (SELECT query_id, item_id, unnest(tags) AS tag FROM cand) c JOIN tg ON c.query_id = tg.query_id AND c.tag = tg.tag GROUP BY ALL)") + """SELECT c.query_id, c.item_id, round(coalesce(en.n, 0) / CAST(greatest(nh, 1) AS DOUBLE), 6) AS entity_share, round(coalesce(ht.n / CAST(tt.n AS DOUBLE), 0), 6) AS tag_share
+FROM cand c LEFT JOIN en ON en.query_id = c.query_id AND en.entity = c.entity LEFT JOIN ht ON ht.query_id = c.query_id AND ht.item_id = c.item_id LEFT JOIN tt ON tt.query_id = c.query_id""",
         "channel_overlap": _with(*POOL) + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS both, count(*) FILTER ({a} IS NOT NULL OR {b} IS NOT NULL) AS either, round(count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) / CAST(greatest(count(*) FILTER ({a} IS NOT NULL OR {b} IS NOT NULL), 1) AS DOUBLE), 6) AS jaccard FROM po" for a, b in PAIRS),
         "rank_metrics_ablation": _ablation(),
         "exclusive_hits": _with(*POOL, "h AS (SELECT *, CAST(rank_hot IS NOT NULL AS INTEGER) + CAST(rank_i2i IS NOT NULL AS INTEGER) + CAST(rank_transition IS NOT NULL AS INTEGER) AS n FROM po WHERE item_id = target)") + " UNION ALL ".join(f"SELECT '{c}' AS channel, round(count({c}) / 1000.0, 6) AS hit_share, round(count(*) FILTER ({c} IS NOT NULL AND n = 1) / 1000.0, 6) AS exclusive_share FROM h" for c in ("rank_hot", "rank_i2i", "rank_transition")),
