@@ -433,7 +433,8 @@ def test_line_dedup_keeps_one_of_each_group(spark):
         return x
 
     for a, b in itertools.combinations(uniq, 2):
-        if bin(sims[a] ^ sims[b]).count("1") <= 3 and max(len(a), len(b)) <= 1000 and edits(a, b) <= math.floor(max(len(a), len(b)) * 0.1 + 1e-9):
+        x, y = (a, b) if max(len(a), len(b)) <= line_dedup.LONG_LINE else (a.split(" "), b.split(" "))
+        if bin(sims[a] ^ sims[b]).count("1") <= 3 and 2 * min(a.count(" "), b.count(" ")) + 1 >= max(a.count(" "), b.count(" ")) and edits(x, y) <= math.floor(max(len(x), len(y)) * 0.1 + 1e-9):
             up[find(b)] = find(a)
     first = {}
     for i, p, x in sorted(occ):
