@@ -69,27 +69,29 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     )
 
 
+def blank(line: Column) -> Column:
+    return F.trim(F.translate(line, "\t\x0b\f\r", "    ")) == ""
+
+
 def line_norm(line: Column) -> Column:
     """Lower case, white space trimmed at the ends."""
     return F.lower(F.trim(line))
 
 
-def quality(
+def cleaned(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE,
     min_left: int = MIN_LEFT, min_share_left: float = MIN_SHARE_LEFT,
 ) -> DataFrame:
-    """Rows (id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_left, kept).
+    """Rows (id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_left, kept, clean_text).
 
-    Null and empty texts have no words and fail. Rows without host form one host of their own. Rows equal in
+    clean_text is the text without its furniture lines (null for null), n_left its words, all other lines as they were. Null and empty texts have no words and fail. Rows without host form one host of their own. Rows equal in
     id, host and text count as one document of the line counts, and each gets its row; null ids too. Lines are
     counted by 64-bit hashes of (host, normalised line). Further columns, whatever their names, are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))).alias("host"), text.alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))).alias("host"), text.alias("text"), F.col(text_col).isNull().alias("was_null"))
     base = base.withColumn("key", F.xxhash64(F.col("id"), "host", "text"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\f\r", "    ")) != "")
-    pairs = F.transform(lines, lambda x: F.struct(F.xxhash64(line_norm(x)).alias("line"), F.size(word_list(x)).alias("words")))
-    spread = base.select("key", "host", F.explode(pairs).alias("p")).select("key", "host", "p.line", "p.words")
+    lines = F.filter(F.split("text", "\n"), lambda x: ~blank(x))
     per_doc = base.select("key", "host", F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(line_norm(x))))).alias("line"))
     copies = base.groupBy("key", "host").agg(F.count("*").alias("rows"))
     hosts = copies.groupBy("host").agg(F.count("*").alias("docs"))
@@ -98,21 +100,30 @@ def quality(
     counted = per_doc.join(repeated, "key", "left").groupBy("host", "line").agg(F.round(F.sum(1.0 / F.coalesce("rows", F.lit(1))), 6).alias("n"))
     limit = F.greatest(F.lit(float(min_docs)), F.col("docs") * max_share)
     furniture = counted.where(F.col("n") > min_docs).join(hosts, "host").where(F.col("n") > limit).select("host", "line")
-    gone = spread.join(furniture, ["host", "line"], "left_semi").groupBy("key").agg(F.sum("words").alias("gone"))
-    gone = gone.join(repeated, "key", "left").select("key", F.expr("gone div coalesce(rows, 1)").alias("gone"))
+    gone = per_doc.join(furniture, ["host", "line"], "left_semi").groupBy("key").agg(F.collect_set("line").alias("gone"))
     words = word_list(F.col("text"))
     measured = base.select(
-        "id", "key", "text", F.size(words).cast("long").alias("n_words"),
+        "id", "key", "text", "was_null", F.size(words).cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", WHITE + "+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         bind(words, lambda w: repeated_words(w)).alias("n_repeat_words"),
-    ).drop("text")
+    )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    left = F.col("n_words") - F.coalesce("gone", F.lit(0))
-    out = measured.join(gone, "key", "left").withColumn("base_failed", failed).withColumn("n_left", left)
+    stay = F.filter(F.split("text", "\n"), lambda x: blank(x) | ~F.array_contains("gone", F.xxhash64(line_norm(x))))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
+    left = F.when(F.col("gone").isNull(), F.col("n_words")).otherwise(F.size(word_list(F.col("clean_text"))).cast("long"))
+    out = measured.join(gone, "key", "left").withColumn("base_failed", failed).withColumn("clean_text", text).withColumn("n_left", left)
     kept = ~F.col("base_failed") & (F.col("n_left") >= min_left) & (F.col("n_left") >= min_share_left * F.col("n_words"))
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", kept.alias("kept"))
+    clean = F.when(~F.col("was_null"), F.col("clean_text"))
+    return out.select(
+        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", kept.alias("kept"), clean.alias("clean_text")
+    )
+
+
+def quality(docs: DataFrame, *args, **kwargs) -> DataFrame:
+    """The rows of cleaned() without the text."""
+    return cleaned(docs, *args, **kwargs).drop("clean_text")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from quillon.llm import line_dedup
+from quillon.llm import line_dedup, quality_rules
 from test_llm import frame
 
 
@@ -56,3 +56,11 @@ def test_long_lines_by_characters(spark):
     other = [w[:3] + "z" + w[4:] if i % 8 == 0 else w for i, w in enumerate(words)]
     out = line_dedup.dedup_lines(frame(spark, [" ".join(words), " ".join(other)]), hamming=None).orderBy("doc_id").collect()
     assert [r.n_removed for r in out] == [0, 1]
+
+
+def test_furniture_leaves_the_text(spark):
+    own = [f"word{i} of this page alone, and more of its own words\n\nend {i}" for i in range(30)]
+    texts = [f"Home | About\n{x}\n home | about " for x in own] + [None, "a single page\n\t"]
+    out = {r.doc_id: r for r in quality_rules.cleaned(frame(spark, texts)).collect()}
+    assert [out[i].clean_text for i in range(32)] == own + [None, texts[31]]
+    assert all(out[i].n_left == len(own[i].split()) and out[i].n_words == out[i].n_left + 6 for i in range(30))
