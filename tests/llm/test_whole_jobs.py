@@ -64,3 +64,12 @@ def test_furniture_leaves_the_text(spark):
     out = {r.doc_id: r for r in quality_rules.cleaned(frame(spark, texts)).collect()}
     assert [out[i].clean_text for i in range(32)] == own + [None, texts[31]]
     assert all(out[i].n_left == len(own[i].split()) and out[i].n_words == out[i].n_left + 6 for i in range(30))
+
+
+def test_documents_with_short_lines_of_their_own_stay(spark):
+    import corpus_pipeline
+
+    notice = "this notice stands in every page of the house"
+    texts = [f"{notice}\nshared short", f"{notice}\nonly verse here\n", f"{notice}\nshared short", f"{notice}\n \n", "shared short"]
+    out = {r.doc_id: r.text for r in corpus_pipeline.fresh_lines(spark, frame(spark, texts), "").collect()}
+    assert out == {0: texts[0], 1: "only verse here\n", 4: "shared short"}
