@@ -103,8 +103,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
 def mixtures(ll: np.ndarray, owner: np.ndarray, docs_total: int) -> tuple[np.ndarray, np.ndarray]:
     """Shares of each language by document, zero outside its chosen set, and how many were chosen.
 
-    `ll`: words x languages log-likelihoods; `owner`: the document of each word, ascending. A set's least
-    language must have a word's worth of share.
+    `ll`: words x languages log-likelihoods; `owner`: the document of each word, ascending. Sets of any
+    size are judged. The likelihood is concave in the shares, so no mixture exceeds that of the shares of all
+    languages by more than their largest slope less the words; a set is left out only if even that bound
+    doesn't beat its penalty.
     """
     k = ll.shape[1]
     top = ll.max(1)
@@ -125,7 +127,13 @@ def mixtures(ll: np.ndarray, owner: np.ndarray, docs_total: int) -> tuple[np.nda
             np.reciprocal(total, out=total)
             shares = np.stack([shares[j] * np.add.reduceat((like[j] * total).astype(np.float64), starts) / words for j in range(k)])
 
-    full, _ = climb(like, words, np.full((k, len(first)), 1 / k))
+    full, fit = climb(like, words, np.full((k, len(first)), 1 / k))
+    total = np.zeros(like.shape[1], like.dtype)
+    for j in range(k):
+        total += like[j] * np.repeat(full[j].astype(like.dtype), words)
+    np.reciprocal(np.maximum(total, 1e-30), out=total)
+    slope = np.max([np.add.reduceat((like[j] * total).astype(np.float64), first) for j in range(k)], axis=0)
+    bound = fit + np.maximum(slope - words, 0) + 1e-3 + 1e-5 * words  # and what single precision may hide
     order = np.argsort(-full, axis=0, kind="stable")
     place = np.argsort(order, axis=0, kind="stable")
     alone = np.add.reduceat((ll - top[:, None]).astype(np.float64), first, axis=0).T
@@ -133,10 +141,8 @@ def mixtures(ll: np.ndarray, owner: np.ndarray, docs_total: int) -> tuple[np.nda
     best, chosen = alone.max(0), np.ones(len(first), np.int64)
     shares = np.zeros((k, len(first)))
     shares[one, np.arange(len(first))] = 1
-    ranked = np.take_along_axis(full, order, axis=0)
-    for size in range(2, min(k, 5) + 1):
-        # A language with less than a word can't pay for its share.
-        docs = np.flatnonzero(ranked[size - 1] * words >= 1)
+    for size in range(2, k + 1):
+        docs = np.flatnonzero(bound - 0.5 * (size - 1) * np.log(words) > best)
         if not len(docs):
             break
         pick = np.repeat(np.isin(np.arange(len(first)), docs), words)

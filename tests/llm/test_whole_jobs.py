@@ -3,8 +3,9 @@
 import random
 
 import duckdb
+import numpy as np
 
-from quillon.llm import line_dedup, quality_rules
+from quillon.llm import language_id, line_dedup, quality_rules
 from test_llm import frame
 
 
@@ -73,3 +74,37 @@ def test_documents_with_short_lines_of_their_own_stay(spark):
     texts = [f"{notice}\nshared short", f"{notice}\nonly verse here\n", f"{notice}\nshared short", f"{notice}\n \n", "shared short"]
     out = {r.doc_id: r.text for r in corpus_pipeline.fresh_lines(spark, frame(spark, texts), "").collect()}
     assert out == {0: texts[0], 1: "only verse here\n", 4: "shared short"}
+
+
+def test_one_foreign_word_and_six_languages_are_found():
+    few = np.full((20, 3), -20.0)
+    few[:, 0] = -12
+    few[7] = [-20, -12, -20]
+    many = np.full((70, 7), -30.0)
+    many[np.arange(70), np.arange(70) % 7] = -12
+    shares, n = language_id.mixtures(few.astype(np.float32), np.zeros(20, np.int64), 1)
+    assert n[0] == 2 and abs(shares[0, 1] - 0.05) < 0.01
+    shares, n = language_id.mixtures(many.astype(np.float32), np.zeros(70, np.int64), 1)
+    assert n[0] == 7 and np.allclose(shares[0], 1 / 7, atol=1e-3)
+
+
+def test_no_set_is_skipped_that_would_win():
+    rnd = np.random.default_rng(4)
+    for _ in range(60):
+        k, words = int(rnd.integers(2, 7)), int(rnd.integers(3, 60))
+        ll = rnd.normal(-9, 1, (words, k))
+        ll[np.arange(words), rnd.choice(k, words, p=rnd.dirichlet(np.full(k, 0.3)))] += rnd.uniform(1, 8)
+        x = ll.astype(np.float32).astype(float)
+
+        def climb(p):
+            for _ in range(language_id.STEPS):
+                w = np.exp(x) * p
+                p = (w / w.sum(1, keepdims=True)).mean(0)
+            return p, np.log((np.exp(x) * p).sum(1)).sum()
+
+        full, _ = climb(np.full(k, 1 / k))
+        order, best = np.argsort(-full, kind="stable"), (x.sum(0).max(), 1)
+        for size in range(2, k + 1):
+            start = np.where(np.isin(np.arange(k), order[:size]), np.maximum(full, 1e-6), 0)
+            best = max(best, (climb(start / start.sum())[1] - 0.5 * (size - 1) * np.log(words), size), key=lambda b: b[0])
+        assert language_id.mixtures(x.astype(np.float32), np.zeros(words, np.int64), 1)[1][0] == best[1]
