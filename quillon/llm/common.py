@@ -42,6 +42,18 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df has them, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch can hold."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

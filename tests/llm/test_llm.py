@@ -1,6 +1,5 @@
 """Each operator against brute force or its library, and on nulls, empty tables, repeats and clashing columns."""
 
-import difflib
 import gzip
 import hashlib
 import html
@@ -387,12 +386,6 @@ def test_furniture_lines_deplete(spark):
     assert [r.n_left for r in quality_rules.quality(twice, max_share=0.2).orderBy("doc_id").collect()][:4] == [30] * 4
 
 
-def brute_lines(rows):
-    occ = [(i, p, [w for w in x.lower().split(" ") if w]) for i, t in rows if t is not None for p, x in enumerate(t.split("\n"))]
-    occ = [(i, p, " ".join(w)) for i, p, w in occ if len(w) >= line_dedup.MIN_WORDS]
-    return occ
-
-
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -402,29 +395,15 @@ def edits(a, b):
     return row[-1]
 
 
-def test_line_dedup_keeps_one_of_each_group(spark):
-    rnd = random.Random(2)
-    vocab = [f"w{i}" for i in range(400)]
-    base = [" ".join(rnd.choice(vocab) for _ in range(rnd.choice([6, 40, 90]))) for _ in range(30)]
-    texts = []
-    for _ in range(60):
-        lines = []
-        for _ in range(4):
-            w = rnd.choice(base).split(" ")
-            if rnd.random() < 0.5:
-                w[rnd.randrange(len(w))] = rnd.choice(vocab)
-            lines.append(" ".join(w) if rnd.random() < 0.7 else " ".join(w).upper() + " ")
-        texts.append("\n".join([*lines, "short", ""]))
-    texts += [None, "", "x" * 5000 + " a b c d e", "a b c d e " * 3000]
-    df = frame(spark, texts)
-    out = {r.doc_id: r for r in line_dedup.dedup_lines(clashing(df)).collect()}
-    occ = brute_lines([(r.doc_id, r.text) for r in df.collect()])
+def similar(a, b):
+    return abs(len(a) - len(b)) * 10 <= max(len(a), len(b)) and 10 * edits(a, b) <= max(len(a), len(b))
+
+
+def brute_gone(rows):
+    """Places that go: all but the first of each connected group of lines of five words and edit similarity 0.9."""
+    occ = [(i, p, " ".join(w for w in x.lower().split(" ") if w)) for i, t in rows if t is not None for p, x in enumerate(t.split("\n"))]
+    occ = [(i, p, x) for i, p, x in occ if x.count(" ") >= 4]
     uniq = sorted({x for _, _, x in occ})
-    sims = {}
-    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in {w for x in uniq for w in x.split(" ")}], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    for x in uniq:
-        hs = sorted({hashes[w] for w in x.split(" ")})[: line_dedup.SKETCH]
-        sims[x] = sum(1 << b for b in range(63) if 2 * sum(((h & (2**64 - 1)) >> b) & 1 for h in hs) > len(hs))
     up = {x: x for x in uniq}
 
     def find(x):
@@ -433,28 +412,83 @@ def test_line_dedup_keeps_one_of_each_group(spark):
         return x
 
     for a, b in itertools.combinations(uniq, 2):
-        x, y = (a, b) if max(len(a), len(b)) <= line_dedup.LONG_LINE else (a.split(" "), b.split(" "))
-        if bin(sims[a] ^ sims[b]).count("1") <= 3 and 2 * min(a.count(" "), b.count(" ")) + 1 >= max(a.count(" "), b.count(" ")) and edits(x, y) <= math.floor(max(len(x), len(y)) * 0.1 + 1e-9):
+        if find(a) != find(b) and similar(a, b):
             up[find(b)] = find(a)
     first = {}
     for i, p, x in sorted(occ):
         first.setdefault(find(x), (i, p))
-    gone = {(i, p) for i, p, x in occ if first[find(x)] != (i, p)}
-    for r in df.collect():
-        want = None if r.text is None else "\n".join(x for p, x in enumerate(r.text.split("\n")) if (r.doc_id, p) not in gone)
-        assert out[r.doc_id].text == want
-    assert sum(r.n_removed for r in out.values()) == len(gone) and len(gone) > 100
+    return {(i, p) for i, p, x in occ if first[find(x)] != (i, p)}, len(uniq)
+
+
+def changed(rnd, line, vocab, what):
+    w = line.split(" ")
+    k = rnd.randrange(len(w))
+    w[k] = rnd.choice(vocab) if what == "word" else w[k][:1] + rnd.choice("xyz") + w[k][2:] if what == "letter" else w[k] + "q"
+    return " ".join(w[:k] + w[k + 1 :]) if what == "less" else " ".join(w)
+
+
+def test_line_dedup_equals_all_pairs(spark):
+    rnd = random.Random(2)
+    vocab = ["".join(rnd.choice(["th", "an", "on", "er", "ti", "re", "s", "ou"]) for _ in range(rnd.randint(1, 4))) for _ in range(400)]
+    base = [" ".join(rnd.choice(vocab) for _ in range(rnd.choice([5, 6, 9, 20, 40, 60]))) for _ in range(40)]
+    texts = []
+    for _ in range(60):
+        lines = [rnd.choice(base) for _ in range(4)]
+        lines = [changed(rnd, x, vocab, rnd.choice(["word", "letter", "more", "less"])) if rnd.random() < 0.6 else x for x in lines]
+        texts.append("\n".join([*(x if rnd.random() < 0.7 else "  " + x.upper().replace(" ", "  ") + " " for x in lines), "short", ""]))
+    texts += [None, "", "x" * 5000 + " a b c d e", "a b c d e " * 300]
+    df = clashing(frame(spark, texts)).withColumn("_gone", F.lit("y")).withColumn("blocks", F.lit("z"))
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    gone, n = brute_gone([(r.doc_id, r.text) for r in df.collect()])
+    for i, text in enumerate(texts):
+        assert out[i].text == (None if text is None else "\n".join(x for p, x in enumerate(text.split("\n")) if (i, p) not in gone)), i
+        assert (out[i]._key, out[i]._gone, out[i].blocks) == ("x", "y", "z")
+    assert sum(r.n_removed for r in out.values()) == len(gone) and len(gone) > 100 and n > 100
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_recall_of_planted_changes(spark):
+    """Pairs of a line and its copy with one letter or one word changed: those within 0.9 are found."""
+    rnd = random.Random(7)
+    vocab = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(3000)]
+    pairs = []
+    for k in range(200):
+        line = " ".join(rnd.choice(vocab) for _ in range(rnd.randint(6, 100)))
+        pairs.append((line, changed(rnd, line, vocab, "letter" if k % 2 else "word")))
+    texts = [x for pair in pairs for x in pair]
+    out = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    want = [a != b and similar(a, b) for a, b in pairs]
+    got = [out[2 * k] + out[2 * k + 1] == 1 for k in range(len(pairs))]
+    assert sum(want) > 150 and all(not g for g, (a, b) in zip(got, pairs, strict=True) if a != b and not similar(a, b))
+    assert sum(g for g, w in zip(got, want, strict=True) if w) >= 0.99 * sum(want)
+
+
+def test_edit_similarity_is_exact(spark):
+    rnd = random.Random(11)
+    vocab = ["of", "the", "and", "thon", "ereti", "stouan", "x"]
+    rows = []
+    for _ in range(400):
+        a = [rnd.choice(vocab) for _ in range(rnd.choice([5, 12, 40]))]
+        b = list(a)
+        for _ in range(rnd.randint(0, max(1, len(a) // 5))):
+            k = rnd.randrange(len(b))
+            b[k : k + 1] = rnd.choice([[], [rnd.choice(vocab)], [b[k], rnd.choice(vocab)], [b[k] + "s"]])
+        rows.append((" ".join(a), " ".join(b) or "x"))
+    long = [rnd.choice("abcdefgh") * rnd.randint(2, 7) + str(rnd.randint(0, 99)) for _ in range(700)]
+    for share in (0.05, 0.1, 0.3):
+        rows.append((" ".join(long), " ".join(x for w in long for x in ([w] if rnd.random() > share else rnd.choice([[], [w, "new"], [w + "e"]])))))
+    rows.append((" ".join(["same"] * 600), " ".join(["same"] * 560)))
+    got = spark.createDataFrame(rows, "x string, y string").select("x", "y", line_dedup.edit_similar(F.col("x"), F.col("y")).alias("s")).collect()
+    want = [similar(r.x, r.y) for r in got]
+    assert [r.s for r in got] == want and 50 < sum(want) < len(want)
+
+
 def test_line_dedup_of_long_lines(spark):
     rnd = random.Random(4)
     words = [f"w{rnd.randint(0, 5000)}" for _ in range(9000)]
-    changed = list(words)
-    changed[17] = "other"
-    out = line_dedup.dedup_lines(frame(spark, [" ".join(words), " ".join(changed), " ".join(words[::-1])])).orderBy("doc_id").collect()
-    assert [r.n_removed for r in out][0] == 0 and out[2].n_removed in (0, 1)
-    assert difflib.SequenceMatcher(None, words[:50], changed[:50]).ratio() > 0.9
+    other = [*words[:17], "other", "words", *words[18:5000], *words[5003:]]
+    out = line_dedup.dedup_lines(frame(spark, [" ".join(words), " ".join(other), " ".join(words[::-1])])).orderBy("doc_id").collect()
+    assert [(r.n_removed, r.text == "") for r in out] == [(0, False), (1, True), (0, False)]
 
 
 def test_repeated_rows_stay_alike(spark):
