@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,17 +22,21 @@ CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot",
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "thead": {"tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "thead": {"table"}, "option": {"select"}, "p": {"td", "th", "button", "object", "article", "section", "div", "li", "blockquote", "main", "body", "aside", "nav", "footer", "header", "form", "dd", "dt", "figure"}}
 # Elements, roles and class words that never hold article text.
-DROP = frozenset("script style noscript iframe template head title nav footer aside form button input select textarea svg canvas object embed video audio dialog menu map math".split())
+DROP = frozenset("script style noscript iframe template head title nav footer aside button input select textarea svg canvas object embed video audio dialog menu map math".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar tablist".split())
 DROP_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner breadcrumb breadcrumbs comment comments disqus respond replies cookie cookies consent gdpr notice notification alert footer header masthead hidden login signin signup menu menus nav navbar navigation newsletter subscribe subscription pager pagination paging popup modal overlay related recommended recommendations share sharing social sidebar sidebars side skip subscribe tags toolbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner breadcrumb breadcrumbs comment comments disqus respond replies responses cookie cookies consent gdpr notice notification alert footer header masthead hidden login signin signup menu menus nav navbar navigation newsletter subscribe subscription pager pagination paging popup modal overlay related recommended recommendations share sharing social sidebar sidebars side skip subscribe tags toolbar widget widgets".split()
 )
+READERS = frozenset("comment comments disqus respond replies responses".split())
 POSITIVE = frozenset("article articles body content entry hentry main page post story text blog".split())
 
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRS = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _COMMENT = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)", re.S)
 _WORDS = re.compile(r"[a-z]+")
+_STATE = re.compile(r"(?:has|no|with|without|is)-|.*-(?:enabled|disabled|active|visible)$")
 _WHITE = re.compile(r"\s+")
 
 
@@ -52,12 +57,29 @@ class Node:
 
 def parse(source: str) -> Node:
     """A tree of the page: void elements, raw text, implied ends and unclosed tags as browsers read them."""
-    root = node = Node("html", "", None)
-    i, n = 0, len(source)
+    root = Node("html", "", None)
+    stack, opened, i, n = [root], Counter(), 0, len(source)
 
     def text(s: str) -> None:
         if s:
-            node.children.append(html.unescape(s) if "&" in s else s)
+            stack[-1].children.append(html.unescape(s) if "&" in s else s)
+
+    def close(size: int) -> None:
+        while len(stack) > size:
+            opened[stack.pop().name] -= 1
+
+    def place_of(names, stops=()) -> int:
+        """Place in the stack of the outermost open element so named, above the innermost of `stops`; 0 if none is open."""
+        found = 0
+        if any(opened[x] for x in names):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].name in names:
+                    found = k
+                    if not stops:
+                        break
+                elif stack[k].name in stops:
+                    break
+        return found
 
     while i < n:
         j = source.find("<", i)
@@ -69,76 +91,101 @@ def parse(source: str) -> Node:
         if (m := _COMMENT.match(source, j)) is not None:
             i = m.end()
             continue
-        if (m := _TAG.match(source, j)) is None:
+        if (m := _OPEN.match(source, j)) is None:
             text("<")
             i = j + 1
             continue
-        i = m.end()
-        name, attrs = m[2].lower(), m[3]
+        if (end := source.find(">", m.end())) < 0:  # no tag ends any more
+            text(source[j:])
+            break
+        name, attrs, i = m[2].lower(), source[m.end() : end], end + 1
+        if ('"' in attrs or "'" in attrs) and (whole := _ATTRS.match(source, m.end())) is not None:
+            attrs, i = whole[1], whole.end()
         if m[1]:
-            up = node
-            while up is not root and up.name != name:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if k := place_of((name,)):
+                close(k)
             continue
         if name == "html" or name == "body":
             root.attrs = root.attrs or attrs
             continue
-        closes = {"p"} if name in CLOSES_P else IMPLIED.get(name, ())
-        if closes:
-            stop, up, last = SCOPE.get(name if name in SCOPE else "p", ()), node, None
-            while up is not root:
-                if up.name in closes:
-                    last = up
-                elif up.name in stop and last is None:
-                    break
-                up = up.parent
-            if last is not None:
-                node = last.parent
-        new = Node(name, attrs, node)
-        node.children.append(new)
+        closes = ("p",) if name in CLOSES_P else IMPLIED.get(name, ())
+        if closes and (k := place_of(closes, SCOPE.get(name if name in SCOPE else "p", ()))):
+            close(k)
+        new = Node(name, attrs, stack[-1])
+        stack[-1].children.append(new)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, i)
+            end = _RAW_END[name].search(source, i)
             if end is None:
                 i = n
             else:
-                close = source.find(">", end.end())
-                i = n if close < 0 else close + 1
+                stop = source.find(">", end.end())
+                i = n if stop < 0 else stop + 1
         elif name not in VOID and not attrs.endswith("/"):
-            node = new
+            stack.append(new)
+            opened[name] += 1
     return root
 
 
-def unwanted(node: Node) -> bool:
-    """Whether an element is furniture rather than article."""
+def words_of(node: Node) -> set[str]:
+    """Words of an element's classes and id, less those that only say what a layout has or lacks (has-sidebar, no-comments)."""
+    names = [x for x in node.attr("class", "id").lower().split() if not _STATE.match(x)]
+    return set(_WORDS.findall(" ".join(names)))
+
+
+def unwanted(node: Node) -> int:
+    """2 if an element never holds article text, 1 if it looks like furniture, 0 if neither."""
     if node.name in DROP:
-        return True
+        return 2
     if node.name == "header":
         up = node.parent
         while up is not None and up.name not in ("article", "main"):
             up = up.parent
         if up is None:
-            return True
+            return 2
+    if node.name == "form":
+        return 1
     if not node.attrs:
-        return False
+        return 0
     low = node.attrs.lower()
+    if re.search(r"(^|\s)hidden(\s|=|$)", low) or "display:none" in low.replace(" ", "") or 'aria-hidden="true"' in low:
+        return 2
     if "class" in low or "id" in low:
-        words = set(_WORDS.findall(node.attr("class", "id").lower()))
-        if words & DROP_WORDS and not (node.name in ("article", "main") or words & {"article", "main", "post", "entry", "story"} and not words & {"comment", "comments", "sidebar", "related", "ad", "ads", "nav", "footer", "share"}):
-            return True
-    if "role" in low and node.attr("role").lower().strip() in DROP_ROLES:
-        return True
-    return bool(re.search(r"(^|\s)hidden(\s|=|$)", low)) or "display:none" in low.replace(" ", "") or 'aria-hidden="true"' in low
+        words = words_of(node)
+        own = node.name in ("article", "main") or words & {"article", "main", "post", "entry", "story"} and not words & {"comment", "comments", "sidebar", "related", "ad", "ads", "nav", "footer", "share"}
+        if not own and words & DROP_WORDS:
+            return 2 if words & READERS else 1
+    return int("role" in low and node.attr("role").lower().strip() in DROP_ROLES)
 
 
 def prune(root: Node) -> None:
-    """Take unwanted elements out."""
-    todo = [root]
+    """Take unwanted elements out; one that only looks like furniture stays if it holds most of the page's text outside links and every marked article."""
+    doubt, todo = [], [root]
     while todo:
         node = todo.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not unwanted(c)]
-        todo += [c for c in node.children if not isinstance(c, str)]
+        kept = []
+        for c in node.children:
+            if isinstance(c, str):
+                kept.append(c)
+            elif (verdict := unwanted(c)) < 2:
+                kept.append(c)
+                todo.append(c)
+                if verdict:
+                    doubt.append(c)
+        node.children = kept
+    if not doubt:
+        return
+    free: dict[int, int] = {}
+    for node in post_order(root):
+        free[id(node)] = 0 if node.name == "a" else sum(len(c.strip()) if isinstance(c, str) else free[id(c)] for c in node.children)
+    nodes = post_order(root)
+    marked = sum(x.name in ("article", "main") and free[id(x)] > 0 for x in nodes)
+    inside: dict[int, int] = {}
+    for node in nodes:
+        inside[id(node)] = (node.name in ("article", "main") and free[id(node)] > 0) + sum(inside[id(c)] for c in node.children if not isinstance(c, str))
+    # An article marked as such elsewhere on the page decides: however short, it is not the furniture.
+    gone = {id(x) for x in doubt if 2 * free[id(x)] <= free[id(root)] or inside[id(x)] < marked}
+    for parent in {id(x.parent): x.parent for x in doubt}.values():
+        parent.children = [c for c in parent.children if isinstance(c, str) or id(c) not in gone]
 
 
 def post_order(root: Node) -> list[Node]:
@@ -161,20 +208,19 @@ def score(root: Node) -> list[Node]:
                 node.length += c.length
                 node.link += c.length if c.name == "a" else c.link
     touched: dict[int, Node] = {}
+    rising: dict[int, float] = {}  # points that reach an element; half of them go on to the next one up
     for node in nodes:
         direct = [c for c in node.children if isinstance(c, str) or c.name not in BLOCK]
         size = sum(len(c.strip()) if isinstance(c, str) else c.length for c in direct)
-        if size < 25 or node is root or (node.name not in BLOCK):
-            continue
-        commas = sum(c.count(",") if isinstance(c, str) else sum(t.count(",") for k in post_order(c) for t in k.children if isinstance(t, str)) for c in direct)
-        points, share, up = 1 + commas + min(size / 100, 3), 1.0, node.parent if node.name in ("p", "pre", "li", "td", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote") else node
-        depth = 0
-        while up is not None and depth < 5:
-            up.score += points * share
-            touched[id(up)] = up
-            depth += 1
-            share = 0.5 if depth == 1 else 1 / (3 * (depth - 1) + 1)
-            up = up.parent
+        if size >= 25 and node is not root and node.name in BLOCK:
+            commas = sum(c.count(",") if isinstance(c, str) else sum(t.count(",") for k in post_order(c) for t in k.children if isinstance(t, str)) for c in direct)
+            up = node.parent if node.name in ("p", "pre", "li", "td", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote") else node
+            rising[id(up)] = rising.get(id(up), 0.0) + 1 + commas + min(size / 100, 3)
+        if points := rising.get(id(node), 0.0):
+            node.score += points
+            touched[id(node)] = node
+            if node.parent is not None:
+                rising[id(node.parent)] = rising.get(id(node.parent), 0.0) + points / 2
     for node in touched.values():
         words = set(_WORDS.findall(node.attr("class", "id", "itemprop", "role").lower())) if node.attrs else ()
         node.score += 25 * (node.name == "article" or bool(POSITIVE.intersection(words))) + 15 * (node.name == "main")

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -295,9 +296,40 @@ def test_odd_pages(source, want):
     assert html_text.extract(source) == want
 
 
+BODY = "".join(f"<p>Paragraph {i} of the article, with words, commas, and enough length to count as text.</p>" for i in range(5))
+WANT = "\n".join(f"Paragraph {i} of the article, with words, commas, and enough length to count as text." for i in range(5))
+
+
+@pytest.mark.parametrize(
+    "outer",
+    ["<form id='aspnetForm'>%s</form>", "<div class='content has-sidebar'>%s</div>", "<div class='layout no-comments'>%s</div>", "<div class='post share-enabled'>%s</div>", "<div class='public-notice'>%s</div>"],
+)
+def test_the_article_stays_whatever_holds_it(outer):
+    menu = "<nav><a href=1>Home</a></nav><div class='sidebar'><p>Side words, commas, and more and more words here.</p></div>"
+    assert html_text.extract(f"<html><body>{menu}{outer % BODY}<footer>foot</footer></body></html>") == WANT
+
+
+def test_reader_comments_go():
+    said = "".join("<p>A reader says, at length, that this is so, and more, and more of it.</p>" for _ in range(9))
+    for name in ("reader-responses", "comments", "comment-list"):
+        assert html_text.extract(f"<body><article>{BODY}<div class='{name}'>{said}</div></article></body>") == WANT
+
+
+@pytest.mark.parametrize("source", ["<a " * 300_000, "<b>" * 40_000 + "</i>" * 40_000, "<a \"" * 100_001 + ">", "<p>" * 40_000, "<div><b>" * 20_000, "<!-- " * 100_000])
+def test_parsing_is_linear(source):
+    began = time.time()
+    html_text.extract(source)
+    assert time.time() - began < 5
+
+
+def test_nested_lists_keep_their_order():
+    assert html_text.extract("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>").split("\n") == ["a", "b", "c", "d"]
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "<p>x</p>")], "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("id", F.lit(2))
     assert sorted((str(r.page_id), r.text) for r in html_text.main_text(df).collect()) == [("1", ""), ("1", ""), ("None", "x")]
+    assert html_text.main_text(df.limit(0)).count() == 0
 
 
 # --- WARC ---
