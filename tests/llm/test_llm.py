@@ -164,6 +164,20 @@ def test_every_prefix_is_counted(library):
         assert counter.table(t).tolist() == want, repr(t)
 
 
+def test_prefixes_of_long_chunks(library):
+    """Chunks that hold quotes, special strings and joining letters: every prefix equals the library, in linear time."""
+    rnd, counter = random.Random(8), token_counts.Counter(VOCAB)
+    chunks = ["".join(rnd.choice(al) for _ in range(700)) for al in ("abst'", "abc9'/+=", "'", "re'vl's<|", "กิดีอุ'า", "e\u0301a'o\u0308x", "a<|endoftext|>'s", "ㅎㅏㄴ\u1100\u1161\u11a8'", "İıΣς'S")]
+    chunks += ["x'" + "<|endoftext|>" * 20 + "!<|endoftext|>?'re<|startoftext|>'ll9'd'", "'" + "a" * 300, "'re" * 200, "!'s!!'t''ve"]
+    for t in chunks:
+        want = [len(e.ids) for e in library.encode_batch([t[:k] for k in range(len(t) + 1)], add_special_tokens=False)]
+        assert counter.table(t).tolist() == want, repr(t[:60])
+    began = time.time()
+    for t in ("it's" * 25_000, "กิดี'" * 20_000, "'" * 100_000, "abc9/'" * 16_000):
+        counter.table(t)
+    assert time.time() - began < 20
+
+
 def test_counts_and_budgets(spark, docs, library):
     df = docs.select("doc_id", "text").union(frame(spark, ODD, 10**6).select("doc_id", "text"))
     out = token_counts.token_counts(clashing(df), VOCAB, budget=50, with_table=True)
