@@ -3,12 +3,13 @@
 A sequence of tokens is what byte-pair encoding makes of a word exactly when no merge would have crossed the
 border of two neighbours while both borders' parts existed. The check of all pairs of many words at once is a
 walk down the right edge of the left token and the left edge of the right one, in whole arrays. Greedy longest
-match proposes the tokens; only words with a failing pair are merged step by step. Letters younger than Unicode 15.1 may be
-split or folded otherwise than by libraries with other tables.
+match proposes the tokens; only words with a failing pair are merged step by step. Letters, numbers and lower case
+follow the library's Unicode tables: code points on which it departs from Python's are found by one sweep.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -22,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenizers import Regex, normalizers, pre_tokenizers
+
 from .common import small_batches
 
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -51,10 +54,41 @@ def lengths_by(tokens) -> dict[str, list[int]]:
     return {k: sorted(v, reverse=True) for k, v in found.items()}
 
 
+def _ranges(chars) -> str:
+    """Body of a character class."""
+    points, out = sorted(map(ord, chars)), []
+    for x in points:
+        if out and out[-1][1] == x - 1:
+            out[-1][1] = x
+        else:
+            out.append([x, x])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+@functools.cache
+def differences() -> tuple[str, str, dict[str, str]]:
+    """Code points that the library classes or folds otherwise than Python does, from one sweep over all of them.
+
+    (those that regex alone calls letters or numbers, those that the library alone does - each letters first, then
+    a zero character, then numbers -, lower case of single code points). The library has Unicode tables of its own.
+    """
+    points = "".join(map(chr, (*range(1, 0xD800), *range(0xE000, 0x110000))))
+    ours, theirs = [], []
+    for kind in ("L", "N"):
+        split = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True)
+        lib = set("".join(t for t, _ in split.pre_tokenize_str(points)))
+        own = set("".join(regex.findall(rf"\p{{{kind}}}+", points)))
+        ours.append("".join(sorted(own - lib)))
+        theirs.append("".join(sorted(lib - own)))
+    low = normalizers.Lowercase().normalize_str("\0".join(points)).split("\0")
+    fold = {c: x for c, x in zip(points, low, strict=True) if x != c.lower() and c != "\u03a3"}
+    return "\0".join(ours), "\0".join(theirs), fold
+
+
 class Vocabulary:
     """A word-end BPE file read into tables: token ids, merge ranks, and each token's two parts."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, differs: tuple | None = None) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.ids: dict[str, int] = spec["model"]["vocab"]
@@ -88,7 +122,13 @@ class Vocabulary:
             self.final.pop(self.names[i].removesuffix(END), None) if self.names[i].endswith(END) else None
         self.alphabet = byte_alphabet()
         self.bytes_map = {b: ord(c) for b, c in enumerate(self.alphabet)}
+        less, more, fold = differs or differences()
+        (not_letters, not_numbers), (letters, numbers) = less.split("\0"), more.split("\0")
+        self.odd, self.fold = frozenset(less + more) - {"\0"}, str.maketrans(fold)
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
+        ll, nn = (f"[[\\p{{{k}}}{_ranges(add)}]--[{_ranges(cut)}\\uffff]]" for k, add, cut in (("L", letters, not_letters), ("N", numbers, not_numbers)))
+        self.letter, self.number = regex.compile(f"(?V1){ll}"), regex.compile(f"(?V1){nn}")
+        self.exact = regex.compile(f"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{ll}+|{nn}|(?:(?!{ll}|{nn})[^{WHITE}])+")
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pair_ok: dict[tuple[int, int], bool] = {}
         self.starts = lengths_by((t, t[:2]) for t in self.middle)
@@ -138,6 +178,14 @@ class Vocabulary:
             self.pair_ok[a, b] = got
         return got
 
+    def lower(self, text: str) -> str:
+        """Lower case letter by letter, so a final sigma keeps no context."""
+        return text.translate(self.fold).replace("\u03a3", "\u03c3").lower()
+
+    def split(self, low: str) -> list[str]:
+        """Words of a lower-case chunk."""
+        return (self.words if self.odd.isdisjoint(low) else self.exact).findall(low)
+
     def pretokens(self, chunk: str) -> list[str | int]:
         """Words of a chunk without white space, in stand-in letters; special tokens as ids."""
         out: list[str | int] = []
@@ -148,9 +196,7 @@ class Vocabulary:
                 words = self.words.findall(part.lower())
                 out += [w if w.isprintable() else "".join(self.alphabet[b] for b in w.encode()) for w in words]
             elif part:
-                # letter by letter, so a final sigma keeps no context
-                low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                words = self.words.findall(low)
+                words = self.split(self.lower(unicodedata.normalize("NFC", part)))
                 out += [w.encode().decode("latin-1").translate(self.bytes_map) for w in words]
         return out
 
@@ -224,8 +270,8 @@ def chunks_of(text: str) -> list[str]:
 class Encoder:
     """Encodes texts chunk by chunk, remembering what it has seen."""
 
-    def __init__(self, path: str) -> None:
-        self.vocab = Vocabulary(path)
+    def __init__(self, path: str, differs: tuple | None = None) -> None:
+        self.vocab = Vocabulary(path, differs)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.ids: dict[str, bytes] = {}
@@ -266,9 +312,9 @@ def _batches(values: list, rows: int = 128):
         yield values[i : i + rows]
 
 
-def _encode(path: str, digests: bool):
+def _encode(path: str, digests: bool, differs: tuple):
     def run(batches):
-        enc = Encoder(path)
+        enc = Encoder(path, differs)
         for batch in batches:
             for a in range(0, batch.num_rows, 128):
                 part = batch.slice(a, 128)
@@ -301,7 +347,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return base.mapInArrow(_encode(vocabulary, digests), f"id {kind}, n_tokens long, {rest}").withColumnRenamed("id", id_col)
+    return base.mapInArrow(_encode(vocabulary, digests, differences()), f"id {kind}, n_tokens long, {rest}").withColumnRenamed("id", id_col)
 
 
 def op2_bpe_codec(spark, sf_dir: str) -> DataFrame:

@@ -147,6 +147,13 @@ def test_bpe_equals_the_library(spark, docs, library):
         assert digests[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_every_code_point_is_split_and_folded_like_the_library(library):
+    texts = [f"a{c}b {c}" for c in map(chr, (*range(1, 0xD800), *range(0xE000, 0x33480), *range(0xE0000, 0xE0200)))]
+    got, counter = bpe.Encoder(VOCAB).encode(texts), token_counts.Counter(VOCAB)
+    for t, ids, want in zip(texts, got, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids and counter.table(t)[-1] == len(want.ids), hex(ord(t[1]))
+
+
 def test_speculation_is_verified():
     v = bpe.Vocabulary(VOCAB)
     words = ["unbelievable", "thethethe", "aaaaaaa", "zzxqj", "international"]
