@@ -28,14 +28,17 @@ def hot_items(events: DataFrame, value: str | None = None) -> DataFrame:
     return x.select("item_id", "score", (F.col("above") + F.row_number().over(Window.partitionBy("score").orderBy("item_id"))).alias("rank"))
 
 
-def item_cf(events: DataFrame, keep: int, per_user: int = 200) -> DataFrame:
+def item_cf(events: DataFrame, keep: int, per_user: int | None = None) -> DataFrame:
     """Neighbours (src, dst, score, rank) by co-occurrence over sqrt(n_src * n_dst) of users.
 
-    A user's pairs grow with the square of the distinct items, so the `per_user` latest of each count, as in
-    the published definition of a bounded history.
+    A user's pairs grow with the square of the distinct items; `per_user` bounds them to the latest of each user
+    where a job's definition of a history does. By default all count.
     """
     seen = events.groupBy("user_id", "item_id").agg(F.max("timestamp").alias("t"))
-    seen = seen.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("t").desc(), "item_id"))).where(F.col("n") <= per_user).select("user_id", "item_id")
+    if per_user is not None:
+        latest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("t").desc(), "item_id"))
+        seen = seen.withColumn("n", latest).where(F.col("n") <= per_user)
+    seen = seen.select("user_id", "item_id")
     users = seen.groupBy("item_id").agg(F.count("*").alias("users"))
     pairs = seen.withColumnRenamed("item_id", "src").join(seen.withColumnRenamed("item_id", "dst"), "user_id").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("both"))
     x = pairs.join(users.toDF("src", "a"), "src").join(users.toDF("dst", "b"), "dst")
@@ -146,14 +149,23 @@ def bm25_recall(queries: DataFrame, docs: DataFrame, fields: dict[str, float], k
     return top_k(x, k)
 
 
-def dense_recall(queries: DataFrame, items: DataFrame, k: int, block: int = 2048) -> DataFrame:
+def history_means(queries: DataFrame, items: DataFrame, last: int) -> DataFrame:
+    """(id, vector) of each query: the mean of the vectors of its `last` history items; items without one don't count."""
+    recent = queries.select("id", F.posexplode(last_n("history", last)).alias("turn", "item"))
+    parts = recent.join(items.select(F.col("id").cast("string").alias("item"), "vector"), "item")
+    values = parts.select("id", F.posexplode(F.col("vector").cast("array<double>")).alias("i", "x")).groupBy("id", "i").agg(F.avg("x").alias("x"))
+    return values.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).select("id", F.col("v.x").alias("vector"))
+
+
+def dense_recall(queries: DataFrame, items: DataFrame, k: int, block: int = 2048, other_ids: bool = False) -> DataFrame:
     """Cosine top-k of query vectors over all item vectors, exactly.
 
     Query vectors are taken in blocks of at most `block` (the size of what is broadcast); each task multiplies
-    its items with the block and passes on its own k best, which are merged. Zero vectors score 0.
+    its items with the block and passes on its own k best, which are merged. Zero vectors score 0. An item is never its own answer, unless queries have ids of another kind.
     """
     spark = queries.sparkSession
     n = queries.count()
+    kind, item_kind = queries.schema["id"].dataType.simpleString(), items.schema["id"].dataType.simpleString()
     shards, parts = max(1, -(-n // block)), []
 
     def best(shared, k):
@@ -168,7 +180,7 @@ def dense_recall(queries: DataFrame, items: DataFrame, k: int, block: int = 2048
                 ids = pdf["id"].to_numpy()
                 for i, name in enumerate(names):
                     keep = np.lexsort((ids, -s[i]))
-                    keep = keep[ids[keep] != name][:k]
+                    keep = (keep if other_ids else keep[ids[keep] != name])[:k]
                     yield pd.DataFrame({"query_id": name, "item_id": ids[keep], "score": s[i][keep]})
 
         return run
@@ -178,7 +190,7 @@ def dense_recall(queries: DataFrame, items: DataFrame, k: int, block: int = 2048
         q = np.stack([np.asarray(v, np.float64) for v in rows["vector"]]) if len(rows) else np.zeros((0, 1))
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
         shared = spark.sparkContext.broadcast((rows["id"].tolist(), q))
-        parts.append(items.select("id", "vector").mapInPandas(best(shared, k), "query_id long, item_id long, score double"))
+        parts.append(items.select("id", "vector").mapInPandas(best(shared, k), f"query_id {kind}, item_id {item_kind}, score double"))
     return top_k(reduce(DataFrame.union, parts), k)
 
 

@@ -284,16 +284,16 @@ def channel_overlap(spark, d):
 
 
 def rank_metrics_ablation(spark, d):
-    return metrics.channel_ablation(_pool(spark, d), NAMES, "query_id", "target", 20, 1000)
+    return metrics.channel_ablation(_pool(spark, d), NAMES, "query_id", "target", 20, _queries(spark, d).count())
 
 
 def exclusive_hits(spark, d):
-    return metrics.exclusive_hits(_pool(spark, d), NAMES, "target", 1000)
+    return metrics.exclusive_hits(_pool(spark, d), NAMES, "target", _queries(spark, d).count())
 
 
 def rank_metrics(spark, d):
     hit = _i2i(spark, d).join(_queries(spark, d).select("query_id", "target"), "query_id").where("item_id = target")
-    return metrics.rank_metrics(hit, "rank", CUTS, 1000)
+    return metrics.rank_metrics(hit, "rank", CUTS, _queries(spark, d).count())
 
 
 def catalog_diversity(spark, d):
@@ -400,8 +400,9 @@ def gbt_scores(spark, d):
 
 
 def history_mean_recall(spark, d):
-    q = _queries(spark, d)
-    return q.select("query_id", F.size(last_n("history", 5)).alias("n_history"), F.array_join(F.array_distinct(last_n("history", 3)), ",").alias("recent"))
+    e = R.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    means = retrieval.history_means(_queries(spark, d).select(F.col("query_id").alias("id"), "history"), e, 5)
+    return retrieval.dense_recall(means, e, 10, other_ids=True)
 
 
 def streaming_exposure(spark, d):

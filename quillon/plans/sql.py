@@ -160,7 +160,8 @@ rq AS (SELECT event_id AS query_id, session_id, user_id, item_id AS target, "tim
 qq AS (SELECT * FROM rq WHERE len(history) > 0 AND NOT list_contains(history, target))
 """
 TRAIN = "train AS (SELECT * FROM (" + "SELECT *, quantile_cont(\"timestamp\", 0.7) OVER () AS lo FROM seq) WHERE \"timestamp\" < lo)"
-TESTQ = "tq AS (SELECT query_id, session_id, user_id, target, history FROM (SELECT *, quantile_cont(\"timestamp\", 0.85) OVER () AS hi FROM qq) WHERE \"timestamp\" >= hi)"
+TESTQ = "tq AS MATERIALIZED (SELECT query_id, session_id, user_id, target, history FROM (SELECT *, quantile_cont(\"timestamp\", 0.85) OVER () AS hi FROM qq) WHERE \"timestamp\" >= hi)"
+N_QUERIES = "(SELECT CAST(count(*) AS DOUBLE) FROM tq)"
 TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)"
 HOT = 'hot AS (SELECT item_id, CAST(count(*) AS DOUBLE) AS score, row_number() OVER (ORDER BY count(*) DESC, item_id) AS "rank" FROM train GROUP BY item_id)'
 
@@ -190,9 +191,9 @@ trn AS (SELECT * FROM (SELECT query_id, item_id, score, {TOP} AS "rank" FROM (
 """
 BASE = (X, Q, TRAIN, RQ, TESTQ)
 CHANNELS = (*BASE, HOT, _icf(20), _i2i(20), BI.format("train"), TRANS, 'hq AS (SELECT query_id, item_id, score, CAST("rank" AS INTEGER) AS "rank" FROM tq CROSS JOIN hot WHERE "rank" <= 20)')
-POOL = (*CHANNELS, """pool AS (SELECT query_id, item_id, min("rank") FILTER (c = 'hot') AS rank_hot, min("rank") FILTER (c = 'i2i') AS rank_i2i, min("rank") FILTER (c = 'trn') AS rank_transition FROM (
+POOL = (*CHANNELS, """pool AS MATERIALIZED (SELECT query_id, item_id, min("rank") FILTER (c = 'hot') AS rank_hot, min("rank") FILTER (c = 'i2i') AS rank_i2i, min("rank") FILTER (c = 'trn') AS rank_transition FROM (
   SELECT query_id, item_id, "rank", 'hot' AS c FROM hq UNION ALL SELECT query_id, item_id, "rank", 'i2i' FROM i2i UNION ALL SELECT query_id, item_id, "rank", 'trn' FROM trn) GROUP BY ALL),
-po AS (SELECT pool.*, target FROM pool JOIN tq ON pool.query_id = tq.query_id)""")
+po AS MATERIALIZED (SELECT pool.*, target FROM pool JOIN tq ON pool.query_id = tq.query_id)""")
 FILL = """
 fl AS (SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p, r, item_id) AS INTEGER) AS "rank", p = 1 AS filled FROM (
         SELECT query_id, item_id, min(p) AS p, arg_min(r, p * 1000000 + r) AS r FROM (SELECT query_id, item_id, 0 AS p, "rank" AS r FROM i2i
@@ -200,7 +201,7 @@ fl AS (SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id O
 """
 
 
-def _rank_metrics(cuts: tuple[int, ...], groups: int) -> str:
+def _rank_metrics(cuts: tuple[int, ...], groups: str) -> str:
     return ", ".join(f"round(coalesce(sum(CASE WHEN r <= {k} THEN 1 / log2(r + 1) ELSE 0 END), 0) / {groups}, 6) AS ndcg_{k}, round(coalesce(sum(CASE WHEN r <= {k} THEN 1 ELSE 0 END), 0) / CAST({groups} AS DOUBLE), 6) AS recall_{k}" for k in cuts)
 
 
@@ -211,7 +212,7 @@ def _ablation() -> str:
     for v, use in variants.items():
         s = " + ".join(f"coalesce(1 / (60.0 + {c}), 0)" for c in use)
         parts.append(f"SELECT '{v}' AS variant, item_id, target, CASE WHEN coalesce({', '.join(use)}) IS NOT NULL THEN row_number() OVER (PARTITION BY query_id ORDER BY round({s}, 9) DESC, item_id) END AS r FROM po")
-    return _with(*POOL, f"v AS ({' UNION ALL '.join(parts)})") + f"SELECT variant, {_rank_metrics((20,), 1000)} FROM v WHERE item_id = target GROUP BY variant"
+    return _with(*POOL, f"v AS ({' UNION ALL '.join(parts)})") + f"SELECT variant, {_rank_metrics((20,), N_QUERIES)} FROM v WHERE item_id = target GROUP BY variant"
 
 
 TOK = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: length(x) > 1)"
@@ -341,8 +342,8 @@ SELECT day, item_id, round(CASE WHEN max(age) OVER w > min(age) OVER w THEN (max
 FROM cand c LEFT JOIN en ON en.query_id = c.query_id AND en.entity = c.entity LEFT JOIN ht ON ht.query_id = c.query_id AND ht.item_id = c.item_id LEFT JOIN tt ON tt.query_id = c.query_id""",
         "channel_overlap": _with(*POOL) + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS both, count(*) FILTER ({a} IS NOT NULL OR {b} IS NOT NULL) AS either, round(count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) / CAST(greatest(count(*) FILTER ({a} IS NOT NULL OR {b} IS NOT NULL), 1) AS DOUBLE), 6) AS jaccard FROM po" for a, b in PAIRS),
         "rank_metrics_ablation": _ablation(),
-        "exclusive_hits": _with(*POOL, "h AS (SELECT *, CAST(rank_hot IS NOT NULL AS INTEGER) + CAST(rank_i2i IS NOT NULL AS INTEGER) + CAST(rank_transition IS NOT NULL AS INTEGER) AS n FROM po WHERE item_id = target)") + " UNION ALL ".join(f"SELECT '{c}' AS channel, round(count({c}) / 1000.0, 6) AS hit_share, round(count(*) FILTER ({c} IS NOT NULL AND n = 1) / 1000.0, 6) AS exclusive_share FROM h" for c in ("rank_hot", "rank_i2i", "rank_transition")),
-        "rank_metrics": _with(*BASE, _icf(20), _i2i(20), 'v AS (SELECT "rank" AS r FROM i2i JOIN tq ON i2i.query_id = tq.query_id AND item_id = target)') + f"SELECT {_rank_metrics((1, 10, 20), 1000)} FROM v",
+        "exclusive_hits": _with(*POOL, "h AS (SELECT *, CAST(rank_hot IS NOT NULL AS INTEGER) + CAST(rank_i2i IS NOT NULL AS INTEGER) + CAST(rank_transition IS NOT NULL AS INTEGER) AS n FROM po WHERE item_id = target)") + " UNION ALL ".join(f"SELECT '{c}' AS channel, round(count({c}) / {N_QUERIES}, 6) AS hit_share, round(count(*) FILTER ({c} IS NOT NULL AND n = 1) / {N_QUERIES}, 6) AS exclusive_share FROM h" for c in ("rank_hot", "rank_i2i", "rank_transition")),
+        "rank_metrics": _with(*BASE, _icf(20), _i2i(20), 'v AS (SELECT "rank" AS r FROM i2i JOIN tq ON i2i.query_id = tq.query_id AND item_id = target)') + f"SELECT {_rank_metrics((1, 10, 20), N_QUERIES)} FROM v",
         "catalog_diversity": _with(*BASE, _icf(20), _i2i(20)) + "SELECT count(DISTINCT item_id) AS recommended, (SELECT count(DISTINCT item_id) FROM exposures) AS catalog, round(count(DISTINCT item_id) / CAST((SELECT count(DISTINCT item_id) FROM exposures) AS DOUBLE), 6) AS diversity FROM i2i",
         "lexical_diversity": "WITH w AS (SELECT regexp_split_to_array(lower(trim(text, ' ')), '\\s+') AS w FROM conversations WHERE role = 'assistant'), g AS (SELECT w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 2), k AS (SELECT w[i] || ' ' || w[i + 1] AS gram FROM g) SELECT count(*) AS grams, count(DISTINCT gram) AS distinct_grams, round(count(DISTINCT gram) / CAST(count(*) AS DOUBLE), 6) AS lexical_diversity FROM k",
         "leakage_free_views": "SELECT a.conv_id, a.turn AS target, count(*) AS n_turns, max(b.turn) AS last_turn, CAST(sum(length(b.text)) AS BIGINT) AS chars FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn BETWEEN 0 AND 8) a JOIN conversations b ON a.conv_id = b.conv_id AND (b.turn < a.turn OR (b.turn = a.turn AND b.role = 'user')) GROUP BY a.conv_id, a.turn",
@@ -356,6 +357,9 @@ FROM cand c LEFT JOIN en ON en.query_id = c.query_id AND en.entity = c.entity LE
         "fold_sizes": _with(X, FOLDS) + "SELECT fold, part, count(*) AS n_rows, count(DISTINCT fo.user_id) AS n_users FROM fo JOIN exposures x ON fo.user_id = x.user_id GROUP BY fold, part",
         "first_wins": _with(X) + 'SELECT user_id, item_id, "timestamp", sample_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY "timestamp", sample_id) AS n FROM exposures) WHERE n = 1',
         "title_fallback": "SELECT p_partkey, CASE WHEN vec_id IS NOT NULL THEN '' ELSE p_name END AS title FROM part LEFT JOIN embeddings ON p_partkey = vec_id",
-        "history_mean_recall": _with(*BASE) + "SELECT query_id, CAST(len(history) AS INTEGER) AS n_history, array_to_string(list_filter(history[-3:], lambda x, i: list_position(history[-3:], x) = i), ',') AS recent FROM tq",
+        "history_mean_recall": _with(*BASE, "h AS (SELECT query_id, unnest(history[-5:]) AS item FROM tq)",
+            "v AS (SELECT query_id, vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM h JOIN embeddings ON item = CAST(vec_id AS VARCHAR))",
+            "a AS (SELECT query_id, i, avg(x) AS x FROM v GROUP BY ALL)", "m AS MATERIALIZED (SELECT query_id, list(x ORDER BY i) AS x FROM a GROUP BY query_id)") + f"""SELECT query_id, item_id, score, "rank" FROM (SELECT *, CAST({TOP} AS INTEGER) AS "rank" FROM (
+  SELECT query_id, vec_id AS item_id, round(list_cosine_similarity(x, CAST(embedding AS DOUBLE[])), 6) AS score FROM m CROSS JOIN embeddings)) WHERE "rank" <= 10""",
         "streaming_exposure": "SELECT epoch_us(date_trunc('hour', ts)) // 1000 AS start_ms, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     }
