@@ -46,7 +46,7 @@ def test_lines_are_linked_by_edit_similarity_alone(spark):
         lines += [base, changed(rnd, base, 1), changed(rnd, base, int(len(base) * rnd.choice([0.03, 0.05, 0.09])))]
     lines = [x for x in dict.fromkeys(lines) if x.count(" ") >= 4]
     want, n_pairs = groups_of([x.lower() for x in lines])
-    out = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, lines), hamming=None).collect()}
+    out = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, lines)).collect()}
     assert n_pairs > 80
     assert [i for i in range(len(lines)) if out[i]] == [i for i, root in enumerate(want) if root != i]
 
@@ -55,7 +55,7 @@ def test_long_lines_by_characters(spark):
     rnd = random.Random(5)
     words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
     other = [w[:3] + "z" + w[4:] if i % 8 == 0 else w for i, w in enumerate(words)]
-    out = line_dedup.dedup_lines(frame(spark, [" ".join(words), " ".join(other)]), hamming=None).orderBy("doc_id").collect()
+    out = line_dedup.dedup_lines(frame(spark, [" ".join(words), " ".join(other)])).orderBy("doc_id").collect()
     assert [r.n_removed for r in out] == [0, 1]
 
 
