@@ -29,8 +29,36 @@ def group_metrics(scored: DataFrame, score: str = "score", group: str = "group_i
     return out.select(group, auc.alias("auc"), "mrr", (F.col("d5") / ideal(5)).alias("ndcg5"), (F.col("d10") / ideal(10)).alias("ndcg10"))
 
 
-def impression_metrics(scored: DataFrame, by: list[str]) -> DataFrame:
-    """Macro means of group_metrics() over the requests of each value of `by` (columns constant in a request)."""
+def require_scores(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """The rows, or ValueError if a score is null, not finite or outside [0, 1], or a label isn't 0 or 1."""
+    s = F.col(score).cast("double")
+    bad = scored.agg(
+        F.count("*").alias("n"), F.count_if(s.isNull() | F.isnan(s) | (s < 0) | (s > 1)).alias("scores"), F.count_if(F.col(label).isNull() | ~F.col(label).isin(0, 1)).alias("labels"),
+    ).first()
+    if not bad.n or bad.scores or bad.labels:
+        raise ValueError(f"{bad.n} rows, {bad.scores} bad scores, {bad.labels} bad labels")
+    return scored
+
+
+def one_class_groups(scored: DataFrame, group: str = "group_id") -> DataFrame:
+    """Requests without a positive or without a negative, and their size: those that group_metrics() leaves out."""
+    return scored.groupBy(group).agg(F.sum("label").alias("p"), F.count("*").alias("n")).where("p = 0 or p = n")
+
+
+def group_ndcg(scored: DataFrame, cut: int = 20, score: str = "score", group: str = "group_id") -> DataFrame:
+    """nDCG@cut of each request by its first positive alone; 0 without one. Ties go to the lower sample_id."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.col(score).desc(), "sample_id"))
+    first = scored.withColumn("_rank", rank).groupBy(group).agg(F.min(F.when(F.col("label") > 0, F.col("_rank"))).alias("first_hit"))
+    return first.withColumn("ndcg", F.round(F.when(F.col("first_hit") <= cut, 1 / F.log2(F.col("first_hit") + 1)).otherwise(0.0), 6))
+
+
+def impression_metrics(scored: DataFrame, by: list[str], strict: bool = False) -> DataFrame:
+    """Macro means of group_metrics() over the requests of each value of `by` (columns constant in a request).
+
+    Requests of one class count for nothing, or are refused with ValueError if `strict`.
+    """
+    if strict and not one_class_groups(scored).isEmpty():
+        raise ValueError("requests with one class")
     keyed = scored.select("group_id", *by).distinct()
     x = group_metrics(scored).join(keyed, "group_id")
     return x.groupBy(*by).agg(F.count("*").alias("n_groups"), *[F.round(F.avg(m), 6).alias(m) for m in ("auc", "mrr", "ndcg5", "ndcg10")])
@@ -105,6 +133,11 @@ def composite_score(ndcg: float, catalog: float, lexical: float, judge: float) -
     return 0.5 * ndcg + 0.1 * catalog + 0.1 * lexical + 0.3 * (judge - 1) / 4
 
 
+def propensity_score(auroc: float, diversity: float, novelty: float) -> float:
+    """Blend of the propensity tasks."""
+    return 0.8 * auroc + 0.1 * diversity + 0.1 * novelty
+
+
 def channel_overlap(pool: DataFrame, channels: list[str]) -> DataFrame:
     """Jaccard overlap of the candidates of each pair of channels, from one pass over the pool of rank columns."""
     pairs = [(a, b) for i, a in enumerate(channels) for b in channels[i + 1 :]]
@@ -142,3 +175,34 @@ def exclusive_hits(pool: DataFrame, channels: list[str], target: str, queries: i
     row = hit.agg(*[s.alias(f"_{i}") for i, s in enumerate(sums)])
     rows = F.array(*[F.struct(F.lit(c).alias("channel"), F.round(F.col(f"_{2 * i}") / queries, 6).alias("hit_share"), F.round(F.col(f"_{2 * i + 1}") / queries, 6).alias("exclusive_share")) for i, c in enumerate(channels)])
     return row.select(F.inline(rows))
+
+
+def greedy_channels(pool: DataFrame, channels: list[str], query: str, target: str, cut: int, queries: int) -> DataFrame:
+    """Channels in the order in which each adds most: by nDCG, then recall, then the greater name, with the metrics so far.
+
+    Reciprocal-rank fusion over all channels is scored once; a set of channels keeps the candidates that one of them
+    has. Ranks within every set are counted on the candidates that stand above the target, one row a query, so a
+    round is one aggregate over those rows. The driver holds a row a channel.
+    """
+    score = F.round(reduce(lambda a, b: a + b, [F.coalesce(1 / (60 + F.col(c)), F.lit(0.0)) for c in channels]), 9)
+    has = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(channels)])
+    x = pool.select(query, "item_id", F.col(target).alias("_t"), score.alias("_s"), has.alias("_has"))
+    hit = x.where(F.col("item_id") == F.col("_t")).select(query, F.col("_s").alias("_ts"), F.col("_t").alias("_ti"), F.col("_has").alias("_th"))
+    above = x.join(hit, query).where((F.col("_s") > F.col("_ts")) | ((F.col("_s") == F.col("_ts")) & (F.col("item_id") < F.col("_ti"))))
+    above = above.groupBy(query, "_has").agg(F.count("*").alias("_n")).groupBy(query).agg(F.collect_list(F.struct("_has", "_n")).alias("_above"))
+    hit = hit.join(above, query, "left").select("_th", F.coalesce("_above", F.array().cast("array<struct<_has:int,_n:bigint>>")).alias("_above")).persist()
+    chosen, rows = [], []
+    try:
+        while len(chosen) < len(channels):
+            left = [c for c in channels if c not in chosen]
+            use = {c: sum(1 << channels.index(d) for d in [*chosen, c]) for c in left}
+            rank = lambda m: F.when(F.col("_th").bitwiseAND(m) != 0, 1 + F.aggregate("_above", F.lit(0).cast("long"), lambda a, e: a + F.when(e["_has"].bitwiseAND(m) != 0, e["_n"]).otherwise(0)))
+            tried = hit.select(F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), rank(F.lit(m)).alias("r")) for c, m in use.items()])))
+            got = {r.channel: r for r in rank_metrics(tried, "r", (cut,), queries, ["channel"]).collect()}  # a row a channel
+            value = lambda c: (got[c][f"ndcg_{cut}"], got[c][f"recall_{cut}"], c) if c in got else (0.0, 0.0, c)
+            best = max(left, key=value)
+            chosen.append(best)
+            rows.append((len(chosen), best, *value(best)[:2]))
+    finally:
+        hit.unpersist()
+    return pool.sparkSession.createDataFrame(rows, f"step int, channel string, ndcg_{cut} double, recall_{cut} double")

@@ -54,3 +54,15 @@ def label_flags(clients: DataFrame, target: DataFrame) -> DataFrame:
     seen = target.groupBy("client_id").agg(F.sort_array(F.collect_set("category")).alias("categories"))
     x = clients.select("client_id").join(seen, "client_id", "left")
     return x.select("client_id", F.col("categories").isNull().cast("int").alias("churn"), F.coalesce(F.array_join(F.transform("categories", lambda c: c.cast("string")), ","), F.lit("")).alias("categories"))
+
+
+def usable_vectors(vectors: DataFrame, key: str, column: str, dim: int) -> DataFrame:
+    """(key, n_rows, usable): one row a key; usable if its first row's vector has `dim` finite values and a norm of 1e-12 or more.
+
+    The first row is the one with the least vector; repeated keys are counted.
+    """
+    one = vectors.groupBy(key).agg(F.count("*").alias("n_rows"), F.min(column).alias("_v"))
+    v = F.transform("_v", lambda x: x.cast("double"))
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return one.select(key, "n_rows", F.coalesce((F.size("_v") == dim) & finite & (norm >= 1e-12), F.lit(False)).alias("usable"))

@@ -28,6 +28,11 @@ def hot_items(events: DataFrame, value: str | None = None) -> DataFrame:
     return x.select("item_id", "score", (F.col("above") + F.row_number().over(Window.partitionBy("score").orderBy("item_id"))).alias("rank"))
 
 
+def popular(hot: DataFrame, n: int = 100) -> DataFrame:
+    """The n hottest items, scored by the reciprocal of their rank."""
+    return hot.where(F.col("rank") <= n).select("item_id", F.round(1 / F.col("rank"), 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
 def item_cf(events: DataFrame, keep: int, per_user: int | None = None) -> DataFrame:
     """Neighbours (src, dst, score, rank) by co-occurrence over sqrt(n_src * n_dst) of users.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -90,6 +91,78 @@ def quantile_split(frame: DataFrame, low: float = 0.7, high: float = 0.85, by: s
     return frame.crossJoin(F.broadcast(cut)).withColumn("split", label).drop("q")  # one row
 
 
+def source_split(frame: DataFrame, held: Column, fraction: float = 0.8, by: str = "timestamp") -> DataFrame:
+    """Adds `split`: held rows are the test; the others train below an interpolated quantile of their own, else validate."""
+    cut = frame.where(~held).agg(F.expr(f"percentile({by}, {fraction})").alias("_q"))
+    label = F.when(held, "test").when(F.col(by) < F.col("_q"), "train").otherwise("validation")
+    return frame.crossJoin(F.broadcast(cut)).withColumn("split", label).drop("_q")  # one row
+
+
+def split_audit(frame: DataFrame, keys: list[str], split: str = "split") -> DataFrame:
+    """For each key: its values, those found in several splits, and rows without a split; a clean split shares none."""
+    parts = []
+    for k in keys:
+        seen = frame.groupBy(F.col(k).cast("string").alias("_v")).agg(F.count_distinct(split).alias("_n"), F.count_if(F.col(split).isNull()).alias("_u"))
+        parts.append(seen.agg(F.lit(k).alias("key"), F.count("*").alias("n_values"), F.count_if(F.col("_n") > 1).alias("shared"), F.coalesce(F.sum("_u"), F.lit(0)).alias("unassigned_rows")))
+    return reduce(DataFrame.unionByName, parts).select("key", "n_values", "shared", "unassigned_rows")
+
+
+def require_disjoint(a: DataFrame, b: DataFrame, key: str) -> None:
+    """ValueError if the frames have a value of the key in common."""
+    if not a.join(b, key, "left_semi").isEmpty():
+        raise ValueError(f"{key} in both frames")
+
+
+def prediction_faults(predicted: DataFrame, truth: DataFrame, k: int, key: str = "query_id", item: str = "item_id") -> DataFrame:
+    """One row of counts: queries without a list, lists without a query, lists with a repeated item, lists not of k items."""
+    lists = predicted.groupBy(key).agg(F.count("*").alias("_n"), F.count_distinct(item).alias("_d"))
+    x = truth.select(key, F.lit(1).alias("_t")).distinct().join(lists, key, "full")
+    return x.agg(
+        F.count_if(F.col("_t").isNotNull()).alias("n_queries"), F.count_if(F.col("_n").isNull()).alias("missing"), F.count_if(F.col("_t").isNull()).alias("unknown"),
+        F.count_if(F.col("_d") < F.col("_n")).alias("repeated"), F.count_if(F.col("_d") != k).alias("not_k"),
+    )
+
+
+def all_null_columns(frame: DataFrame) -> list[str]:
+    """Columns without any value, in order, from one pass."""
+    row = frame.agg(*[F.count(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(frame.columns)]).first()
+    return [c for i, c in enumerate(frame.columns) if not row[i]]
+
+
+def columns_like(frame: DataFrame, endings: list[str]) -> list[str]:
+    """Columns that end in one of the endings, each once, by ending and then in order."""
+    return list(dict.fromkeys(c for e in endings for c in frame.columns if c.endswith(e)))
+
+
+def strict_timestamps(frame: DataFrame, column: str, pattern: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
+    """The column as timestamps; ValueError if a value is set but doesn't follow the pattern."""
+    if dict(frame.dtypes)[column].startswith("timestamp"):
+        return frame
+    if dict(frame.dtypes)[column] != "string":
+        raise ValueError(f"{column} holds neither text nor timestamps")
+    at = F.try_to_timestamp(F.col(column), F.lit(pattern))
+    if not frame.where(F.col(column).isNotNull() & at.isNull()).isEmpty():
+        raise ValueError(f"{column} has values outside {pattern}")
+    return frame.withColumn(column, at)
+
+
+def vocabulary_size(frame: DataFrame, *arrays: str) -> DataFrame:
+    """One more than the greatest id in any of the array columns (1 for none)."""
+    top = F.greatest(*[F.coalesce(F.array_max(c), F.lit(0)) for c in arrays]) if len(arrays) > 1 else F.coalesce(F.array_max(arrays[0]), F.lit(0))
+    return frame.agg((F.coalesce(F.max(top), F.lit(0)) + 1).cast("long").alias("vocabulary"))
+
+
+def period_snapshot(samples: DataFrame, snapshots: DataFrame, period: Column, strict: bool = False) -> DataFrame:
+    """Samples with the history that their user had in their period (period, user_id, history); none is an empty one.
+
+    With `strict`, a user without a snapshot of the period is refused with ValueError.
+    """
+    x = samples.withColumn("period", period).join(snapshots, ["period", "user_id"], "left")
+    if strict and not x.where("history is null").isEmpty():
+        raise ValueError("users without a history in their period")
+    return x.withColumn("history", F.coalesce("history", F.array().cast(snapshots.schema["history"].dataType)))
+
+
 def cutoff(interval: int, delay: int, frozen_at: int | None = None) -> Column:
     """The instant before which events are visible: the last update less the delay, capped if frozen."""
     c = F.col("timestamp") - F.pmod(F.col("timestamp"), F.lit(interval)) - delay

@@ -405,6 +405,64 @@ def history_mean_recall(spark, d):
     return retrieval.dense_recall(means, e, 10, other_ids=True)
 
 
+def group_ndcg(spark, d):
+    x = models.popularity(R.with_split(R.samples(spark, d))).where("split = 'test'")
+    return metrics.group_ndcg(x).select("group_id", F.col("first_hit").cast("int").alias("first_hit"), "ndcg")
+
+
+def one_class_groups(spark, d):
+    return metrics.one_class_groups(R.samples(spark, d))
+
+
+def greedy_ablation(spark, d):
+    return metrics.greedy_channels(_pool(spark, d), NAMES, "query_id", "target", 20, _queries(spark, d).count())
+
+
+def source_split(spark, d):
+    x = splits.source_split(R.exposures(spark, d), F.col("policy") == "random")
+    return x.groupBy("split").agg(F.count("*").alias("n_rows"), F.min("timestamp").alias("first_ms"), F.max("timestamp").alias("last_ms"))
+
+
+def split_audit(spark, d):
+    return splits.split_audit(R.with_split(R.samples(spark, d)), ["sample_id", "group_id", "user_id", "item_id"])
+
+
+def prediction_coverage(spark, d):
+    return splits.prediction_faults(_i2i(spark, d), _queries(spark, d), 20)
+
+
+def vocabulary_size(spark, d):
+    lists = R.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"), F.collect_set("l_suppkey").alias("suppliers"))
+    return splits.vocabulary_size(lists, "parts", "suppliers")
+
+
+def period_history(spark, d):
+    x = R.samples(spark, d).where(F.col("timestamp") >= FROZEN)
+    clicks = R.samples(spark, d).where("label = 1")
+    entry = F.struct("timestamp", "sample_id", "item_id")
+    parts = [
+        clicks.where(F.col("timestamp") < at).groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["item_id"]).alias("history")).withColumn("period", F.lit(p))
+        for p, at in enumerate((FROZEN, R.TEST_START))
+    ]
+    out = splits.period_snapshot(x, parts[0].unionByName(parts[1]), (F.col("timestamp") >= R.TEST_START).cast("int"))
+    return out.select("sample_id", "period", F.size("history").alias("n_history"), F.array_contains("history", F.col("item_id")).alias("seen"))
+
+
+def popular_channel(spark, d):
+    return retrieval.popular(retrieval.hot_items(_train(spark, d)))
+
+
+def usable_vectors(spark, d):
+    return profiles.usable_vectors(R.read(spark, d, "embeddings"), "vec_id", "embedding", 64)
+
+
+def candidate_features(spark, d):
+    c = _channels(spark, d)
+    x = models.candidate_features(retrieval.candidate_pool(c), c)
+    floats = [f.name for f in x.schema if f.dataType.typeName() == "double"]
+    return x.withColumns({f: F.round(f, 4) for f in floats})
+
+
 def streaming_exposure(spark, d):
     from ..streaming.exposure import windowed_counts
 
@@ -418,6 +476,7 @@ ALL = [
     retrieval_metrics, transition_recall, transition_loso, tfidf_recall, content_i2i, bm25_recall, dense_recall, embedding_presence, new_items, rrf_fusion, weighted_fusion, top1_graft, candidate_pool, training_requests, request_summary, entity_affinity,
     channel_overlap, rank_metrics_ablation, exclusive_hits, rank_metrics, catalog_diversity, lexical_diversity, leakage_free_views, query_text, profiles_v1, profiles_v2, category_hist, label_flags,
     aligned_vectors, user_folds, fold_sizes, first_wins, title_fallback, history_mean_recall, word2vec_recall, lr_scores, fm_scores, gbt_scores, streaming_exposure,
+    group_ndcg, one_class_groups, greedy_ablation, source_split, split_audit, prediction_coverage, vocabulary_size, period_history, popular_channel, usable_vectors, candidate_features,
 ]
 
 

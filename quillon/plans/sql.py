@@ -271,6 +271,35 @@ FOLDS = "hs AS (SELECT DISTINCT user_id, CAST('0x' || substr(md5('0:' || user_id
 STATS = 'SELECT split, {}CAST(count(*) AS BIGINT) AS n_rows, min("timestamp") AS first_ms, max("timestamp") AS last_ms FROM {} GROUP BY ALL'
 
 
+def _greedy() -> str:
+    """Metrics of every set of channels over the one fused ranking, then the greedy walk through the sets."""
+    ch = ["rank_hot", "rank_i2i", "rank_transition"]
+    score = " + ".join(f"coalesce(1 / (60.0 + {c}), 0)" for c in ch)
+    parts = []
+    for m in range(1, 8):
+        some = f"coalesce({', '.join(c for i, c in enumerate(ch) if m >> i & 1)}) IS NOT NULL"
+        parts.append(f"SELECT {m} AS m, round(coalesce(sum(1 / log2(r + 1)) FILTER (r <= 20), 0) / {N_QUERIES}, 6) AS n, round(count(*) FILTER (r <= 20) / {N_QUERIES}, 6) AS c FROM (SELECT item_id, target, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS r FROM fs WHERE {some}) WHERE item_id = target")
+    bits = "bits AS (VALUES " + ", ".join(f"(1 << {i}, '{c}')" for i, c in enumerate(ch)) + ")"
+    steps = ["g1 AS (SELECT 1 AS step, b.name, ms.* FROM ms JOIN bt b ON ms.m = b.bit ORDER BY n DESC, c DESC, b.name DESC LIMIT 1)"]
+    steps += [f"g{k} AS (SELECT {k} AS step, b.name, ms.* FROM g{k - 1} p JOIN bt b ON (p.m & b.bit) = 0 JOIN ms ON ms.m = (p.m | b.bit) ORDER BY ms.n DESC, ms.c DESC, b.name DESC LIMIT 1)" for k in (2, 3)]
+    return _with(*POOL, f"fs AS (SELECT *, round({score}, 9) AS s FROM po)", f"ms AS MATERIALIZED ({' UNION ALL '.join(parts)})", bits.replace("bits AS (", "bt(bit, name) AS ("), *steps) + " UNION ALL ".join(f"SELECT step, name AS channel, n AS ndcg_20, c AS recall_20 FROM g{k}" for k in (1, 2, 3))
+
+
+def _features() -> str:
+    w, out = "OVER (PARTITION BY query_id)", []
+    for c in ("hot", "i2i", "transition"):
+        s = f"score_{c}"
+        out.append(f"coalesce(CASE WHEN max({s}) {w} > min({s}) {w} THEN ({s} - min({s}) {w}) / (max({s}) {w} - min({s}) {w}) END, 0) AS minmax_{c}, coalesce(CASE WHEN stddev_pop({s}) {w} > 0 THEN ({s} - avg({s}) {w}) / stddev_pop({s}) {w} END, 0) AS z_{c}, CAST(coalesce(rank_{c} <= 10, false) AS INTEGER) AS in_top10_{c}")
+    join = " ".join(f"LEFT JOIN (SELECT query_id, item_id, score AS score_{c} FROM {t}) {t}_ USING (query_id, item_id)" for c, t in (("hot", "hq"), ("i2i", "i2i"), ("transition", "trn")))
+    agree, total = " + ".join(f"in_top10_{c}" for c in ("hot", "i2i", "transition")), " + ".join(f"minmax_{c}" for c in ("hot", "i2i", "transition"))
+    rounded = ", ".join(f"round({n}_{c}, 4) AS {n}_{c}" for c in ("hot", "i2i", "transition") for n in ("score", "minmax", "z"))
+    return _with(*POOL, f"j AS (SELECT * FROM pool {join})", f"f AS (SELECT *, {', '.join(out)} FROM j)") + f"SELECT * REPLACE ({rounded}), {agree} AS agreement_top10, round({total}, 4) AS minmax_sum, round(({total}) * ({agree}), 4) AS minmax_mnz FROM f"
+
+
+def _audit() -> str:
+    return _with(S, SP) + " UNION ALL ".join(f"SELECT '{k}' AS key, count(*) AS n_values, count(*) FILTER (n > 1) AS shared, CAST(sum(u) AS BIGINT) AS unassigned_rows FROM (SELECT count(DISTINCT split) AS n, count(*) FILTER (split IS NULL) AS u FROM split GROUP BY {k})" for k in ("sample_id", "group_id", "user_id", "item_id"))
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "sample_projection": _with(S) + "SELECT * REPLACE (array_to_string(tags, ',') AS tags) FROM samples",
@@ -361,5 +390,17 @@ FROM cand c LEFT JOIN en ON en.query_id = c.query_id AND en.entity = c.entity LE
             "v AS (SELECT query_id, vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM h JOIN embeddings ON item = CAST(vec_id AS VARCHAR))",
             "a AS (SELECT query_id, i, avg(x) AS x FROM v GROUP BY ALL)", "m AS MATERIALIZED (SELECT query_id, list(x ORDER BY i) AS x FROM a GROUP BY query_id)") + f"""SELECT query_id, item_id, score, "rank" FROM (SELECT *, CAST({TOP} AS INTEGER) AS "rank" FROM (
   SELECT query_id, vec_id AS item_id, round(list_cosine_similarity(x, CAST(embedding AS DOUBLE[])), 6) AS score FROM m CROSS JOIN embeddings)) WHERE "rank" <= 10""",
+        "group_ndcg": _with(S, SP, POP, "r AS (SELECT group_id, label, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, sample_id) AS r FROM pop WHERE split = 'test')", "h AS (SELECT group_id, CAST(min(r) FILTER (label > 0) AS INTEGER) AS first_hit FROM r GROUP BY group_id)") + "SELECT *, round(CASE WHEN first_hit <= 20 THEN 1 / log2(first_hit + 1) ELSE 0 END, 6) AS ndcg FROM h",
+        "one_class_groups": _with(S) + "SELECT group_id, CAST(sum(label) AS BIGINT) AS p, count(*) AS n FROM samples GROUP BY group_id HAVING sum(label) = 0 OR sum(label) = count(*)",
+        "greedy_ablation": _greedy(),
+        "source_split": _with(X, "qs AS (SELECT *, CASE WHEN policy = 'random' THEN 'test' WHEN \"timestamp\" < (SELECT quantile_cont(\"timestamp\", 0.8) FROM exposures WHERE policy <> 'random') THEN 'train' ELSE 'validation' END AS split FROM exposures)") + STATS.format("", "qs"),
+        "split_audit": _audit(),
+        "prediction_coverage": _with(*BASE, _icf(20), _i2i(20), "l AS (SELECT query_id, count(*) AS n, count(DISTINCT item_id) AS d FROM i2i GROUP BY query_id)", "j AS (SELECT t.query_id AS q, l.* FROM (SELECT DISTINCT query_id FROM tq) t FULL JOIN l ON t.query_id = l.query_id)") + "SELECT count(q) AS n_queries, count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (q IS NULL) AS unknown, count(*) FILTER (d < n) AS repeated, count(*) FILTER (d <> 20) AS not_k FROM j",
+        "vocabulary_size": "SELECT CAST(greatest(max(l_partkey), max(l_suppkey)) + 1 AS BIGINT) AS vocabulary FROM lineitem",
+        "period_history": _with(S, f"x AS (SELECT *, CAST(\"timestamp\" >= {R.TEST_START} AS INTEGER) AS period, CASE WHEN \"timestamp\" >= {R.TEST_START} THEN {R.TEST_START} ELSE {FROZEN} END AS at FROM samples WHERE \"timestamp\" >= {FROZEN})") + """SELECT x.sample_id, x.period, CAST(count(c.sample_id) AS INTEGER) AS n_history, coalesce(bool_or(c.item_id = x.item_id), false) AS seen
+FROM x LEFT JOIN (SELECT * FROM samples WHERE label = 1) c ON c.user_id = x.user_id AND c."timestamp" < x.at GROUP BY x.sample_id, x.period""",
+        "popular_channel": _with(X, Q, TRAIN, HOT) + 'SELECT item_id, round(1.0 / "rank", 6) AS score, CAST("rank" AS INTEGER) AS "rank" FROM hot WHERE "rank" <= 100',
+        "usable_vectors": "SELECT vec_id, count(*) AS n_rows, coalesce(len(min(embedding)) = 64 AND list_bool_and(list_transform(min(embedding), lambda x: isfinite(x))) AND sqrt(list_sum(list_transform(min(embedding), lambda x: CAST(x AS DOUBLE) * x))) >= 1e-12, false) AS usable FROM embeddings GROUP BY vec_id",
+        "candidate_features": _features(),
         "streaming_exposure": "SELECT epoch_us(date_trunc('hour', ts)) // 1000 AS start_ms, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     }

@@ -208,3 +208,46 @@ def test_npy_source(spark, tmp_path):
     np.save(tmp_path / "v.npy", np.arange(6, dtype=np.float32).reshape(3, 2))
     got = readers.npy_vectors(spark, str(tmp_path / "v.npy")).orderBy("row").collect()
     assert [r.vector for r in got] == [[0, 1], [2, 3], [4, 5]]
+
+
+def test_new_refusals_and_checks(spark):
+    ok = spark.createDataFrame([("a", "s1", 1, 0.5), ("a", "s2", 0, 0.1)], "group_id string, sample_id string, label int, score double")
+    assert metrics.require_scores(ok) is ok
+    for bad in (ok.withColumn("score", F.lit(1.5)), ok.withColumn("score", F.lit(float("nan"))), ok.withColumn("label", F.lit(2)), ok.limit(0)):
+        with pytest.raises(ValueError):
+            metrics.require_scores(bad)
+    one = ok.union(spark.createDataFrame([("b", "s3", 1, 0.5)], ok.schema))
+    assert metrics.impression_metrics(one, []).first().n_groups == 1
+    with pytest.raises(ValueError):
+        metrics.impression_metrics(one, [], strict=True)
+    assert {r.group_id: r.ndcg for r in metrics.group_ndcg(one.withColumn("label", 1 - F.col("label"))).collect()} == {"a": round(1 / np.log2(3), 6), "b": 0.0}
+    assert metrics.propensity_score(1, 1, 1) == pytest.approx(1)
+
+
+def test_column_and_time_checks(spark):
+    df = spark.createDataFrame([("2020-01-01 00:00:00", None, 1), (None, None, 2)], "t string, x_7d int, y_30d int")
+    assert splits.all_null_columns(df) == ["x_7d"] and splits.columns_like(df, ["_30d", "d"]) == ["y_30d", "x_7d"]
+    assert str(splits.strict_timestamps(df, "t").first().t) == "2020-01-01 00:00:00"
+    for column in ("x_7d", "z"):
+        with pytest.raises(ValueError):
+            splits.strict_timestamps(df.withColumn("z", F.lit("2020/01/01")), column)
+    with pytest.raises(ValueError):
+        splits.require_disjoint(df, df, "y_30d")
+    splits.require_disjoint(df, df.withColumn("y_30d", F.lit(9)), "y_30d")
+
+
+def test_snapshots_predictions_and_trials(spark):
+    x = spark.createDataFrame([("u", 1), ("v", 1)], "user_id string, t int")
+    snaps = spark.createDataFrame([(1, "u", [3])], "period int, user_id string, history array<int>")
+    assert {r.user_id: r.history for r in splits.period_snapshot(x, snaps, F.col("t")).collect()} == {"u": [3], "v": []}
+    with pytest.raises(ValueError):
+        splits.period_snapshot(x, snaps, F.col("t"), strict=True)
+    lists = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", 2)], "query_id string, item_id int")
+    truth = spark.createDataFrame([("b",), ("c",)], "query_id string")
+    assert splits.prediction_faults(lists, truth, 2).first().asDict() == {"n_queries": 2, "missing": 1, "unknown": 1, "repeated": 1, "not_k": 1}
+    trials = spark.createDataFrame([("b", 0.5), ("a", 0.5), ("c", 0.1)], "trial string, ndcg double")
+    assert models.best_trial(trials, "ndcg").first().trial == "a"
+    names = ["query_id", "rank_hot", "score_hot", "minmax_hot", "z_hot", "agreement_top10"]
+    assert models.feature_columns(names, True) == ["rank_hot", "score_hot"] and len(models.feature_columns(names, False)) == 5
+    odd = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0]), (5, None), (1, [3.0, 4.0])], "id int, v array<double>")
+    assert {r.id: (r.n_rows, r.usable) for r in profiles.usable_vectors(odd, "id", "v", 2).collect()} == {1: (2, True), 2: (1, False), 3: (1, False), 4: (1, False), 5: (1, False)}
