@@ -8,11 +8,11 @@ metadata block, every source header. Record ids are name-based, so a rerun makes
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +23,8 @@ from .common import small_batches
 VERSION = "WARC/1.1"
 #: Namespace of the record ids.
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+#: Bytes that are decompressed at once where a stream may be damaged.
+PIECE = 4096
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|h[1-6]|li|ul|ol|tr|table|br|hr|article|section|nav|header|footer|blockquote|pre|dd|dt|dl|form|aside|main|body|html)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[/!?a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
@@ -47,6 +49,45 @@ def plain_text(payload: str) -> str:
     return "\n".join(line for line in lines if line)
 
 
+def inflated(data: bytes, bits: int) -> bytes:
+    """What can be read of one compressed stream; nothing if it is none."""
+    out, step = [], zlib.decompressobj(bits)
+    try:
+        for i in range(0, len(data), PIECE):
+            out.append(step.decompress(data[i : i + PIECE]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def unzipped(data: bytes) -> bytes:
+    """What can be read of the members of a gzip file, up to where it is cut off or damaged."""
+    out = []
+    while data:
+        step = zlib.decompressobj(31)
+        try:
+            out.append(step.decompress(data))
+        except zlib.error:
+            return b"".join([*out, inflated(data, 31)])
+        data = step.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
+def dechunked(data: bytes) -> bytes:
+    """Body of a chunked message; the rest as it stands from where it isn't well formed."""
+    out, i = [], 0
+    while (end := data.find(b"\r\n", i)) >= 0:
+        try:
+            size = int(data[i:end].split(b";")[0].strip() or b"x", 16)
+        except ValueError:
+            break
+        if size <= 0:
+            return b"".join(out)
+        out.append(data[end + 2 : end + 2 + size])
+        i = end + 2 + size + 2
+    return b"".join([*out, data[i:]])
+
+
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers in order, and payload of an HTTP message; a block without head is all payload."""
     head, gap, payload = block.partition(b"\r\n\r\n")
@@ -59,11 +100,13 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 def decoded(headers: list[tuple[str, str]], payload: bytes) -> str:
     """Payload as text by its content encoding and charset; bytes that fit neither are replaced."""
     low = {k.lower(): v for k, v in headers}
-    if low.get("content-encoding", "").lower() == "gzip":
-        try:
-            payload = gzip.decompress(payload)
-        except (OSError, EOFError):
-            pass
+    if low.get("transfer-encoding", "").lower() == "chunked":
+        payload = dechunked(payload)
+    coding = low.get("content-encoding", "").lower()
+    if coding in ("gzip", "x-gzip"):
+        payload = unzipped(payload) or payload
+    elif coding == "deflate":
+        payload = inflated(payload, 15) or inflated(payload, -15) or payload
     m = _CHARSET.search(low.get("content-type", "")) or _CHARSET.search(payload[:1024].decode("latin-1"))
     try:
         return payload.decode(m[1] if m else "utf-8", "replace")
@@ -95,16 +138,20 @@ def serialise(headers: dict, block: bytes) -> bytes:
 
 
 def parse_records(data: bytes) -> list[tuple[dict, bytes]]:
-    """Records of a file's bytes, gzipped or not; a truncated last record is left out."""
+    """Records of a file's bytes, gzipped or not; a truncated last record is left out, as is one without a length."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = unzipped(data)
     out, i = [], 0
     while (i := data.find(b"WARC/", i)) >= 0:
         end = data.find(b"\r\n\r\n", i)
         if end < 0:
             break
         headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in data[i:end].decode("utf-8", "replace").split("\r\n")[1:])}
-        size = int(headers.get("Content-Length", "0"))
+        length = headers.get("Content-Length", "0")
+        if not (length.isascii() and length.isdigit()):
+            i = end + 4
+            continue
+        size = int(length)
         if end + 4 + size > len(data):
             break
         out.append((headers, data[end + 4 : end + 4 + size]))
@@ -140,10 +187,10 @@ def derivatives(responses: DataFrame) -> DataFrame:
 
 
 def responses_of_pages(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Pages (page_id, url, html) as captured responses: ids made of the page id, a plain HTTP head, the page in UTF-8."""
+    """Pages (page_id, url, html) as captured responses: record ids made of the page's id, address and content, a plain HTTP head, the page in UTF-8."""
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     head = F.format_string("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n", F.octet_length(body))
-    name = F.sha1(F.concat_ws("|", F.lit("page"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit(""))))
+    name = F.sha1(F.concat_ws("|", F.lit("page"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.sha1(body)))
     parts = [F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
     rid = F.concat(F.lit("<urn:uuid:"), parts[0], F.lit("-"), parts[1], F.lit("-5"), parts[2], F.lit("-8"), parts[3], F.lit("-"), parts[4], F.lit(">"))
     headers = F.create_map(F.lit("WARC-Type"), F.lit("response"), F.lit("WARC-Record-ID"), rid, F.lit("Content-Type"), F.lit("application/http; msgtype=response"))
