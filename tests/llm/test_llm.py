@@ -383,11 +383,63 @@ def test_warc_files_and_odd_responses(spark, tmp_path):
     assert warc.derivatives(odd).count() == 4 and warc.derivatives(odd.limit(0)).count() == 0
 
 
+def test_damaged_and_coded_responses():
+    body = b"<p>one two</p>" * 3000
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(body[i : i + 1000]), body[i : i + 1000]) for i in range(0, len(body), 1000)) + b"0\r\n\r\n"
+    assert warc.dechunked(chunked) == body and warc.dechunked(b"no chunks") == b"no chunks" and warc.dechunked(b"") == b""
+    raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+    for coding, data in (("gzip", gzip.compress(body)), ("deflate", zlib.compress(body)), ("deflate", raw.compress(body) + raw.flush()), ("", body)):
+        assert warc.decoded([("Content-Encoding", coding)], data) == body.decode()
+    assert warc.decoded([("Transfer-Encoding", "chunked"), ("Content-Encoding", "gzip")], b"%x\r\n" % len(gzip.compress(body)) + gzip.compress(body) + b"\r\n0\r\n\r\n") == body.decode()
+    assert warc.decoded([("Content-Encoding", "gzip")], b"plain") == "plain"
+    whole = warc.serialise({"WARC-Type": "response", "Content-Length": "3"}, b"abc")
+    odd = warc.serialise({"WARC-Type": "response", "Content-Length": "three"}, b"abc")
+    assert [b for _, b in warc.parse_records(odd + whole)] == [b"abc"]
+    packed = gzip.compress(whole) + gzip.compress(whole * 2000)
+    assert 1 <= len(warc.parse_records(packed[:-20])) <= 2001 and len(warc.parse_records(packed)) == 2001
+
+
+def test_equal_pages_with_other_content_have_own_records(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "b"), (1, "u", None)], "page_id long, url string, html string")
+    assert len({r.record_id for r in warc.derivatives(warc.responses_of_pages(pages)).collect()}) == 6
+
+
 # --- native operators ---
 
 
-def test_license_inheritance(spark):
+def test_license_headers_and_files(spark):
     t = license_scan.TEMPLATES
+    wrap = lambda text: "\n".join(f"# {x}" for x in __import__("textwrap").wrap(text, 60))
+    code = "\n\n" + "\n".join(f"value{i} = other{i} + {i}" for i in range(80))
+    cases = {
+        "SPDX-License-Identifier: MIT" + code: "MIT", "// SPDX-License-Identifier: Apache-2.0" + code: "Apache-2.0", "The MIT License (MIT)": "MIT", "GNU GENERAL PUBLIC LICENSE": "GPL-3.0",
+        "Copyright (c) 2020 A. Person\n\n" + wrap(t["MIT"][4]): "MIT", wrap(t["GPL-3.0"][3]) + code: "GPL-3.0", wrap(t["Apache-2.0"][2]) + code: "Apache-2.0", wrap(t["BSD-3-Clause"][2]): "BSD-3-Clause", wrap(t["BSD-2-Clause"][1]): "BSD-2-Clause",
+        "A licence to print money is not permission to fish." + code: None, "She asked for permission, then left the public domain of gossip.": None, "SPDX-License-Identifier: Zlib": None,
+    }
+    df = spark.createDataFrame([(i, "r", f"{i}/f", x) for i, x in enumerate(cases)], "id long, repo string, path string, text string")
+    assert {r.id: r.own_license for r in license_scan.scan(df).collect()} == dict(enumerate(cases.values()))
+    swapped = spark.createDataFrame([(1, None, "x", "MIT License"), (1, "x", None, "MIT License")], df.schema)
+    assert license_scan.scan(swapped).count() == 2
+
+
+def test_letter_counts_never_cut_a_link(spark):
+    rng = random.Random(5)
+    rows = []
+    for n in (20, 40, 90, 400):
+        for _ in range(60):
+            x = "".join(rng.choice("etaoinsrlduc bmxü7") for _ in range(n))
+            y = list(x)
+            for _ in range(n // 10):
+                at = rng.randrange(len(y))
+                y[at : at + rng.randint(0, 1)] = rng.choice(["", rng.choice("etabx")])
+            rows.append((x, "".join(y)))
+    df = spark.createDataFrame(rows, "x string, y string").select("x", "y", *[F.struct(F.length(c).alias("length"), line_dedup.letter_counts(F.col(c), F.length(c)).alias("letters")).alias(n) for c, n in (("x", "a"), ("y", "b"))])
+    got = df.select(line_dedup._letters_allow("a", "b", 0.9).alias("open"), (F.levenshtein("x", "y") <= F.floor(F.greatest(F.length("x"), F.length("y")) * 0.1 + 1e-9)).alias("linked")).collect()
+    assert all(r.open for r in got if r.linked) and sum(r.linked for r in got) > 100
+
+
+def test_license_inheritance(spark):
+    t = {k: v[0] for k, v in license_scan.TEMPLATES.items()}
     long = " ".join(["word"] * 60)
     rows = [(1, "r", "a/LICENSE", t["MIT"]), (2, "r", "a/b/x.txt", long), (3, "r", "a/b/y.txt", long + "\n" + t["Apache-2.0"].upper()), (4, "r", "c/z.txt", long), (5, "q", "a/b/x.txt", long), (6, "r", "a/b/c/d/w.txt", None), (7, None, "a/x", long), (8, "r", None, ""), (9, "r", "a/b/LICENSE", t["CC-BY-NC-4.0"]), (9, "r", "a/b/LICENSE", t["CC-BY-NC-4.0"])]
     df = spark.createDataFrame(rows, "id long, repo string, path string, text string").withColumn("license", F.lit("x")).withColumn("term", F.lit("y"))
