@@ -422,22 +422,6 @@ def test_license_headers_and_files(spark):
     assert license_scan.scan(swapped).count() == 2
 
 
-def test_letter_counts_never_cut_a_link(spark):
-    rng = random.Random(5)
-    rows = []
-    for n in (20, 40, 90, 400):
-        for _ in range(60):
-            x = "".join(rng.choice("etaoinsrlduc bmxü7") for _ in range(n))
-            y = list(x)
-            for _ in range(n // 10):
-                at = rng.randrange(len(y))
-                y[at : at + rng.randint(0, 1)] = rng.choice(["", rng.choice("etabx")])
-            rows.append((x, "".join(y)))
-    df = spark.createDataFrame(rows, "x string, y string").select("x", "y", *[F.struct(F.length(c).alias("length"), line_dedup.letter_counts(F.col(c), F.length(c)).alias("letters")).alias(n) for c, n in (("x", "a"), ("y", "b"))])
-    got = df.select(line_dedup._letters_allow("a", "b", 0.9).alias("open"), (F.levenshtein("x", "y") <= F.floor(F.greatest(F.length("x"), F.length("y")) * 0.1 + 1e-9)).alias("linked")).collect()
-    assert all(r.open for r in got if r.linked) and sum(r.linked for r in got) > 100
-
-
 def test_license_inheritance(spark):
     t = {k: v[0] for k, v in license_scan.TEMPLATES.items()}
     long = " ".join(["word"] * 60)
