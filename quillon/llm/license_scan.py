@@ -108,7 +108,9 @@ def scan(files: DataFrame, trigger: str = TRIGGER, min_cosine: float = MIN_COSIN
     blocks = F.filter(F.split("text", "\\n[ \\t]*\\n"), lambda x: F.lower(x).rlike(trigger))
     lines = base.where(F.size("hit") > 0).dropDuplicates(["key"])
     lines = lines.select("key", "n_words", F.posexplode(F.array_distinct(F.concat("hit", blocks, F.array("text")))).alias("pos", "line"))
-    terms = lines.select("key", "n_words", "pos", F.size(F.split(F.trim("line"), "\\s+")).alias("line_words"), F.explode(tokens(F.col("line"))).alias("term"))
+    # Counted before the terms are dealt out: beside explode() it would be counted again for every term.
+    lines = lines.withColumn("line_words", F.size(F.split(F.trim("line"), "\\s+")))
+    terms = lines.select("key", "n_words", "pos", "line_words", F.explode(tokens(F.col("line"))).alias("term"))
     tf = terms.groupBy("key", "n_words", "pos", "line_words", "term").agg(F.count("*").alias("tf"))
     tf = tf.join(weights, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(far)))
     norms = tf.groupBy("key", "pos").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
