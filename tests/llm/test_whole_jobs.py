@@ -1,11 +1,12 @@
 """Operators against the whole of what they promise."""
 
 import random
+import time
 
 import duckdb
 import numpy as np
 
-from quillon.llm import language_id, line_dedup, quality_rules
+from quillon.llm import common, language_id, line_dedup, quality_rules
 from test_llm import frame
 
 
@@ -59,6 +60,33 @@ def test_long_lines_by_characters(spark):
     assert [r.n_removed for r in out] == [0, 1]
 
 
+def test_lines_of_few_words_over_and_over_meet(spark):
+    words = [f"{a}{b}ord" for a in "abcdefgh" for b in "klmn"]
+    lines = []
+    for k in range(30):
+        line = [words[k]] * 400 if k % 2 else [words[k], words[(k + 7) % 32], words[(k + 13) % 32]] * 150
+        lines += [" ".join(line), " ".join([*line[:50], f"new{k}", *line[52:]])]
+    out = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, lines)).collect()}
+    assert [out[i] for i in range(60)] == [0, 1] * 30
+
+
+def test_shuffles_go_with_the_table_they_made(spark):
+    """What a step shuffled does not stay beside the next one's: line_dedup and jaccard_join ran out of disk by that."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum(str(f.getName()).startswith("shuffle_") for f in _listed(blocks.getAllFiles()))
+    before, setting = files(), spark.conf.get(common.SHUFFLE_CLEANUP)
+    table = common.materialise(spark.range(1000).repartition(7, "id"), "shuffled")
+    for _ in range(50):  # files are deleted in the background
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and table.count() == 1000 and spark.conf.get(common.SHUFFLE_CLEANUP) == setting
+
+
+def _listed(files):
+    return [files.apply(i) for i in range(files.size())]
+
+
 def test_furniture_leaves_the_text(spark):
     own = [f"word{i} of this page alone, and more of its own words\n\nend {i}" for i in range(30)]
     texts = [f"Home | About\n{x}\n home | about " for x in own] + [None, "a single page\n\t"]
