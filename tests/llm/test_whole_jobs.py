@@ -6,8 +6,8 @@ import time
 import duckdb
 import numpy as np
 
-from quillon.llm import common, language_id, line_dedup, quality_rules
-from test_llm import frame
+from quillon.llm import common, jaccard_join, language_id, line_dedup, quality_rules
+from test_llm import brute_components, frame
 
 
 def changed(rnd, line, edits):
@@ -87,6 +87,24 @@ def _listed(files):
     return [files.apply(i) for i in range(files.size())]
 
 
+def test_shared_passages_chain_no_regions(spark, monkeypatch):
+    """Texts that share a few passages but no link were tied into one region of nearly all, which no task could join."""
+    rnd = random.Random(6)
+    own = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passages = [own(12) for _ in range(15)]
+    texts = [own(60) + rnd.choice(passages) + own(60) + rnd.choice(passages) + own(rnd.randrange(20, 120)) for _ in range(300)]
+    texts += [x[: rnd.randrange(len(x) - 4)] + ["other"] + x[4:] if i % 3 else [*x[:-9], *own(rnd.randrange(1, 25))] for i, x in enumerate(texts[:60])]
+    rows = list(enumerate([" ".join(x) for x in texts]))
+    wanted = []
+    kept = lambda df, label: wanted.append(common.materialise(df, label)) or wanted[-1] if label == "wanted" else common.materialise(df, label)
+    monkeypatch.setattr(jaccard_join, "materialise", kept)
+    out = jaccard_join.jaccard_components(frame(spark, [x for _, x in rows]), width=5, num=80)
+    got, want = {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()}, brute_components(rows, 5, 80)
+    linked = sum(i != first for i, (_, first) in want.items())
+    assert got == want and linked >= 15
+    assert max(r["count"] for r in wanted[0].groupBy("region").count().collect()) <= 20 and wanted[0].count() <= 200
+
+
 def test_furniture_leaves_the_text(spark):
     own = [f"word{i} of this page alone, and more of its own words\n\nend {i}" for i in range(30)]
     texts = [f"Home | About\n{x}\n home | about " for x in own] + [None, "a single page\n\t"]
