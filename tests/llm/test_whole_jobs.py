@@ -154,3 +154,14 @@ def test_no_set_is_skipped_that_would_win():
             start = np.where(np.isin(np.arange(k), order[:size]), np.maximum(full, 1e-6), 0)
             best = max(best, (climb(start / start.sum())[1] - 0.5 * (size - 1) * np.log(words), size), key=lambda b: b[0])
         assert language_id.mixtures(x.astype(np.float32), np.zeros(words, np.int64), 1)[1][0] == best[1]
+
+
+def test_line_tables_go_before_the_text_is_read(spark, monkeypatch):
+    """The tables of all lines stayed on disk beside the next stage's."""
+    held = {}
+    kept = lambda df, label: held.setdefault(label, common.materialise(df, label))
+    monkeypatch.setattr(line_dedup, "materialise", kept)
+    out = line_dedup.dedup_lines(frame(spark, ["one two three four five six"] * 3))
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(held[x].inputFiles()[0]).getParent() for x in ("lines", "unique")]
+    assert not any(x.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(x) for x in paths)
+    assert sorted(r.n_removed for r in out.collect()) == [0, 1, 1]
