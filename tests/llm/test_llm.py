@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -185,6 +186,29 @@ def test_prefixes_of_long_chunks(library):
     assert time.time() - began < 20
 
 
+def test_totals_are_those_of_the_tables_without_making_them(library, monkeypatch):
+    """Totals and longest prefixes equal the tables'; a table is made only for the piece in which the budget runs out."""
+    counter, made = token_counts.Counter(VOCAB), []
+    texts = [x for x in ODD if x] + wild(150, 4) + ["it's we'LL don't", " \n x  ", "a" * 200, "x'" + "<|endoftext|>" * 20 + "?'re'll9'd'", "กิดีอุ'า e\u0301a'o"]
+    texts += [f"a{c}b {c}" for c in map(chr, (*range(1, 0x3000), *range(0xA000, 0xB000), *range(0x1E900, 0x1E980)))]
+    wants = library.encode_batch(texts, add_special_tokens=False)
+    for t, want in zip(texts, wants, strict=True):
+        table, n = counter.table(t), len(want.ids)
+        for budget in (-1, 0, 1, n // 2, n - 1, n, 2048):
+            assert counter.count(t, budget) == (n, token_counts.longest_prefix(table, budget)), (t[:60], budget)
+    fresh, piece = token_counts.Counter(VOCAB), token_counts.Counter.piece
+    monkeypatch.setattr(token_counts.Counter, "piece", lambda self, p: made.append(p) or piece(self, p))
+    text = "one twoish it's <|endoftext|> five " * 20
+    run = token_counts._count(VOCAB, 50, False, bpe.differences())
+    monkeypatch.setattr(token_counts, "_counter", lambda path, differs: fresh)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one two it's", text])], names=["id", "text"])
+    out = next(run([batch]))
+    assert out.column("n_tokens").to_pylist() == [len(library.encode(t, add_special_tokens=False).ids) for t in ("one two it's", text)]
+    assert len(made) == 1
+    monkeypatch.undo()
+    assert token_counts._counter(VOCAB, bpe.differences()) is token_counts._counter(VOCAB, bpe.differences())
+
+
 def test_counts_and_budgets(spark, docs, library):
     df = docs.select("doc_id", "text").union(frame(spark, ODD, 10**6).select("doc_id", "text"))
     out = token_counts.token_counts(clashing(df), VOCAB, budget=50, with_table=True)
