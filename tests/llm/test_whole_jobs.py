@@ -5,6 +5,7 @@ import time
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillon.llm import common, jaccard_join, language_id, line_dedup, quality_rules
 from test_llm import brute_components, frame
@@ -165,3 +166,37 @@ def test_line_tables_go_before_the_text_is_read(spark, monkeypatch):
     paths = [spark._jvm.org.apache.hadoop.fs.Path(held[x].inputFiles()[0]).getParent() for x in ("lines", "unique")]
     assert not any(x.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(x) for x in paths)
     assert sorted(r.n_removed for r in out.collect()) == [0, 1, 1]
+
+
+def test_lines_of_other_letters_are_not_joined(spark, monkeypatch):
+    """Lines that share a block alone make no joined row if edits can't make their letter counts alike; like ones still meet."""
+    rnd, rows, real = random.Random(21), {}, line_dedup.materialise
+
+    def counted(df, label):
+        out = real(df, label)
+        rows.setdefault(label, out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", counted)
+    lines = []
+    for _ in range(40):
+        few = rnd.sample("etaoinsrhdlucgbfkmpwxyz", 4)
+        lines.append(" ".join(["alphabet", "monument", *("".join(rnd.choice(few) for _ in range(6)) for _ in range(7))]))
+    lines += [changed(rnd, lines[i], 2) for i in (20, 30)]
+    out = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, lines)).collect()}
+    assert [i for i in range(len(lines)) if out[i]] == [40, 41]
+    assert rows["rest"] < 80  # of some 800
+
+
+def test_letter_counts_refuse_no_similar_line(spark):
+    rnd, rows = random.Random(22), []
+    for n in (6, 12, 40, 150, 900, 4000):
+        for _ in range(12):
+            line = " ".join("".join(rnd.choice("eeeettaoinshrdluñß𝔞") for _ in range(rnd.randrange(1, 9))) for _ in range(n))
+            rows.append((line, changed(rnd, line, int(len(line) * 0.088))))
+    df = spark.createDataFrame(rows, "x string, y string")
+    for side in "xy":
+        letters = [c.alias(f"letters{k}") for k, c in enumerate(line_dedup._letters(F.col(side), F.length(side)))]
+        df = df.withColumn({"x": "a", "y": "b"}[side], F.struct(F.length(side).alias("length"), *letters))
+    got = df.select(line_dedup._spellable("a", "b", 0.9).alias("kept")).collect()
+    assert all(r.kept for r in got) and len(got) == len(rows)
