@@ -200,3 +200,57 @@ def test_letter_counts_refuse_no_similar_line(spark):
         df = df.withColumn({"x": "a", "y": "b"}[side], F.struct(F.length(side).alias("length"), *letters))
     got = df.select(line_dedup._spellable("a", "b", 0.9).alias("kept")).collect()
     assert all(r.kept for r in got) and len(got) == len(rows)
+
+
+def counted_rows(monkeypatch):
+    """Rows of each table that line_dedup writes, by label."""
+    rows, real = {}, line_dedup.materialise
+
+    def counted(df, label):
+        out = real(df, label)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", counted)
+    return rows
+
+
+def test_lines_with_a_common_passage_are_told_apart_in_the_join(spark, monkeypatch):
+    """Unlike lines that share a long passage passed the letter counts, and each pair of them left the join."""
+    rnd, rows = random.Random(23), counted_rows(monkeypatch)
+    syllables = ["th", "an", "on", "er", "ti", "re", "s", "ou"]
+    line = lambda n: " ".join("".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 4))) for _ in range(n))
+    passage = line(25)
+    lines = [f"{line(25)} {passage}" for _ in range(40)]
+    lines += [changed(rnd, lines[i], 8) for i in (3, 30)]
+    out = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, lines)).collect()}
+    assert [i for i in range(len(lines)) if out[i]] == [40, 41]
+    assert rows["rest"][0] < 40  # of some 500
+
+
+def test_near_copies_are_tied_before_all_pairs_meet(spark, monkeypatch):
+    """Copies of one line at similarities about 0.9 were held against one line of a block, then all against all."""
+    rnd, rows = random.Random(24), counted_rows(monkeypatch)
+    base = [f"{rnd.choice('abcdefgh')}{rnd.randrange(10**5)}" for _ in range(50)]
+    lines = [" ".join(w if rnd.random() > 0.055 else f"{rnd.choice('klmnop')}{rnd.randrange(10**5)}" for w in base) for _ in range(120)]
+    want, n_pairs = groups_of(lines)
+    out = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, lines)).collect()}
+    assert [i for i in range(len(lines)) if out[i]] == [i for i, root in enumerate(want) if root != i]
+    assert n_pairs > 500 and rows["rest"][0] < 500
+
+
+def test_windows_tell_no_similar_lines_apart(spark):
+    rnd, rows = random.Random(25), []
+    for n in (6, 12, 40, 150, 600):
+        for k in range(16):
+            words = ["".join(rnd.choice("etaoinshrdluñß𝔞") for _ in range(rnd.randrange(1, 9))) for _ in range(n)]
+            line = " ".join(words)
+            few = int(len(line) * 0.088)
+            at = rnd.choice([0, len(line) // 2, len(line)])
+            rows.append((line, [changed(rnd, line, few), line[:at] + "x" * few + line[at:], line[few:], line[: len(line) - few]][k % 4]))
+    m, n = F.length("x"), F.length("y")
+    allowed = line_dedup._allowed(F.greatest(m, n), 0.9)
+    df = spark.createDataFrame([(p, q) for p, q in rows if 0.9 * max(len(p), len(q)) <= min(len(p), len(q))], "x string, y string")
+    pairs = df.union(df.select("y", "x")).select(line_dedup._apart(F.col("x"), F.col("y"), m, n, allowed, 4000).alias("apart"))
+    got = [r.apart for r in pairs.collect()]
+    assert len(got) > 100 and not any(got)
