@@ -230,7 +230,7 @@ def _tfidf(self_too: bool) -> str:
     keep = "WHERE \"rank\" <= 10" + (" AND query_id <> item_id" if self_too else "")
     cols = "query_id, item_id, score" + ("" if self_too else ', "rank"')
     return _with(TFIDF) + f"""SELECT {cols} FROM (SELECT *, CAST({TOP} AS INTEGER) AS "rank" FROM (
-        SELECT a.id AS query_id, b.id AS item_id, round(sum(a.w * b.w), 6) AS score FROM wt a JOIN wt b ON a.term = b.term AND a.id % 50 = 0 {cond} GROUP BY ALL)) {keep}"""
+        SELECT a.id AS query_id, b.id AS item_id, round(sum(a.w * b.w), 6) AS score FROM wt a JOIN wt b ON a.term = b.term {cond} GROUP BY ALL)) {keep}"""
 
 
 def _bm25() -> str:
