@@ -43,6 +43,11 @@ def minus_group_mean(value, group: list[str]) -> Column:
     return col(value) - F.avg(col(value)).over(Window.partitionBy(*group))
 
 
+def round_scaled(x, digits: int) -> Column:
+    """Rounded by the scaled number, half away from zero, as DuckDB does; round() goes by the decimals that stand for a number, so halves differ."""
+    return F.round(col(x) * 10**digits, 0) / 10**digits
+
+
 def last_n(array, n: int) -> Column:
     """The last n entries, or all of a shorter array."""
     return F.slice(col(array), F.greatest(F.size(col(array)) - (n - 1), F.lit(1)), n)
