@@ -21,3 +21,17 @@ def test_rounding_is_that_of_the_sql(spark):
     assert spark.createDataFrame([(None,)], "x double").select(round_scaled("x", 4)).first()[0] is None
 
 
+def test_widths_are_read_in_one_pass(spark):
+    """No frame slides: sums over widths are differences of sums from the first event on."""
+    rows = [(f"{i}", "ab"[i % 2], t, i) for i, t in enumerate([1, 1, 5, 6, 6, 9, 14, 15, 15, 40])]
+    df = spark.createDataFrame(rows, "sample_id string, item_id string, timestamp long, v int")
+    out = pit.visible_sums(df, df.select("sample_id", "item_id", "timestamp"), ["item_id"], {"v": F.col("v"), "half": F.col("v") / 2}, {"w": 9, "all": None})
+    for r in out.collect():
+        seen = [v for _, item, t, v in rows if item == r.item_id and r.timestamp - 9 < t < r.timestamp]
+        assert (r.v_w, r.half_w) == (sum(seen), sum(seen) / 2)
+    whole = pit.visible_sums(df, df.select("sample_id", "item_id", "timestamp"), ["item_id"], {"v": F.col("v")}, {"w": 9, "all": None})
+    frames = plan_of(whole)
+    assert "RangeFrame, -8" not in frames and "unboundedpreceding$(), -9" in frames
+
+
+@pytest.mark.parametrize("descending", [True, False])
