@@ -35,3 +35,16 @@ def test_widths_are_read_in_one_pass(spark):
 
 
 @pytest.mark.parametrize("descending", [True, False])
+def test_average_ranks_of_ties_nulls_and_nan(spark, descending):
+    values = [3.0, None, 1.0, 3.0, float("nan"), None, 2.0, 3.0]
+    df = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)] + [("h", 9, None)], "g string, i int, v double")
+    got = {r.i: r.r for r in df.select("i", average_rank("v", ["g"], descending).alias("r")).collect()}
+    want = [3.0, 7.5, 6.0, 3.0, 1.0, 7.5, 5.0, 3.0] if descending else [6.0, 1.5, 3.0, 6.0, 8.0, 1.5, 4.0, 6.0]
+    assert [got[i] for i in range(8)] == want and got[9] == 1.0
+
+
+def test_ranks_share_one_sort(spark):
+    """Each ranked column had two windows, each of which sorted and held the task's rows again."""
+    df = spark.createDataFrame([("s", "g", "u", "i", 1, 1.0, 2)], "sample_id string, group_id string, user_id string, item_id string, timestamp long, read_time double, position int")
+    assert plan_of(families.candidate_ranks(df, ["read_time", "position"])).count("Window ") == 1
+    assert plan_of(families.past_exposure(df, {"7d": 7, "30d": 30}, True)).count("Window ") == 3
