@@ -51,6 +51,16 @@ def test_ranks_share_one_sort(spark):
     df = spark.createDataFrame([("s", "g", "u", "i", 1, 1.0, 2)], "sample_id string, group_id string, user_id string, item_id string, timestamp long, read_time double, position int")
     assert plan_of(families.candidate_ranks(df, ["read_time", "position"])).count("Window ") == 1
     assert plan_of(families.past_exposure(df, {"7d": 7, "30d": 30}, True)).count("Window ") == 3
+def test_quantiles_without_a_table_of_all_values(spark):
+    """percentile() held every distinct time in one task."""
+    rnd = random.Random(2)
+    for rows in ([rnd.randrange(10**12) for _ in range(301)], [5, 5, 5, 9], [-7, 10**15], [3], [None, 4, 6], []):
+        df = spark.createDataFrame([(v,) for v in rows], "timestamp long")
+        want = df.agg(F.expr("percentile(timestamp, array(0.7, 0.85))")).first()[0] or [None, None]
+        assert splits.exact_quantiles(df, "timestamp", [0.7, 0.85], 16) == list(want)
+        assert "percentile" not in plan_of(splits.quantile_split(df))
+
+
 def test_ablation_does_not_sort_the_pool_for_each_variant(spark):
     rows = [("a", "i1", 1, None, "i2"), ("a", "i2", 2, 1, "i2"), ("a", "i3", None, 2, "i2"), ("b", "i1", 1, None, "i1"), ("c", "i1", 1, 1, "i9")]
     pool = spark.createDataFrame(rows, "query_id string, item_id string, x int, y int, target string")
