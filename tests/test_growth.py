@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions.expr import average_rank, round_scaled
-from quillon.operators import families, metrics, pit, retrieval, splits
+from quillon.operators import families, metrics, models, pit, retrieval, splits
 from quillon.plans import queries
 
 
@@ -121,3 +121,12 @@ def test_ablation_does_not_sort_the_pool_for_each_variant(spark):
     out = metrics.channel_ablation(pool, ["x", "y"], "query_id", "target", 1, 4)
     assert plan_of(out).count("Window ") == 1
     assert {r.variant: r.recall_1 for r in out.collect()} == {"only_x": 0.25, "only_y": 0.25, "without_x": 0.25, "without_y": 0.25, "all": 0.5}
+
+
+@pytest.mark.parametrize("name", ["lr", "fm"])
+def test_a_model_is_fitted_on_rows_written_once(spark, sf, name, monkeypatch):
+    """Each pass of a fit joined orders, lines and parts anew."""
+    plans, fitted = [], models.fitted
+    monkeypatch.setattr(models, "fitted", lambda x, *a: plans.append(plan_of(x)) or fitted(x, *a))
+    out = queries.queries()[f"{name}_scores"](spark, sf)
+    assert len(plans) == 1 and "Join" not in plans[0] and out.count() > 0
